@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import crc_bucket, table
 from tessera.llm.chat_format import render_chats
 from tessera.llm.language_id import fit_languages, identify_languages
+from tessera.llm.simhash_dedup import near_duplicates
+from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.url_reputation import judge_urls, path_of
 
 #: The rules that the URL query applies: verdict, host, path.
@@ -28,6 +30,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels whose crc32 remainder by 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = fit_toxicity(docs, labels.filter(crc_bucket(F.col("doc_id"), 5) != 0))
+    scored = score_toxicity(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url.
 
@@ -54,6 +71,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op5_url_reputation": op5_url_reputation,
     "op8_chat_format": op8_chat_format,
 }
