@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import crc_bucket, table
 from tessera.llm.chat_format import render_chats
 from tessera.llm.language_id import fit_languages, identify_languages
+from tessera.llm.packing import pack, pieces_of
 from tessera.llm.simhash_dedup import near_duplicates
+from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.url_reputation import judge_urls, path_of
+from tessera.llm.winnowing import compare_with_edits
 
 #: The rules that the URL query applies: verdict, host, path.
 URL_RULES = [
@@ -61,6 +65,16 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "posterior", "upper")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of every document and of its edited text."""
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    return pack(pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal logged conversation, rendered; the chat is given by its length and sha256."""
     chats = render_chats(table(spark, sf_dir, "conversations"))
@@ -69,12 +83,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public 32k vocabulary."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_url_reputation": op5_url_reputation,
+    "op6_winnowing": op6_winnowing,
+    "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES = {
