@@ -11,6 +11,7 @@ from tessera.llm.chat_format import render_chats
 from tessera.llm.language_id import fit_languages, identify_languages
 from tessera.llm.packing import pack, pieces_of
 from tessera.llm.simhash_dedup import near_duplicates
+from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.url_reputation import judge_urls, path_of
@@ -88,6 +89,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings of earlier ones."""
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("_n_bytes") - F.length("_kept")
+    return left.select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), removed.cast("long").alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +108,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
