@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import crc_bucket, table
 from tessera.llm.chat_format import render_chats
+from tessera.llm.decontamination import find_leaks
 from tessera.llm.language_id import fit_languages, identify_languages
 from tessera.llm.packing import pack, pieces_of
 from tessera.llm.simhash_dedup import near_duplicates
@@ -50,6 +51,12 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark item, with the item and the evidence."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", *(F.round(c, 4).alias(c) for c in ("cosine", "lcs_share", "answer_share")), "first_word")
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url.
 
@@ -103,6 +110,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_url_reputation": op5_url_reputation,
     "op6_winnowing": op6_winnowing,
     "op7_packing": op7_packing,
