@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import base, conversation, documents, knowledge, search, workflow  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
