@@ -1 +1,175 @@
-"""Queries."""
+"""Document queries: tokens, budgets, identity, chunks, repeated lines and sections.
+
+Where pages are needed, twenty consecutive documents stand in for the pages of
+one document: document_id = doc_id div 20, page = doc_id mod 20 + 1.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import chunking, topics
+from tessera.plans.base import query, table
+
+_WS = "[ \\t\\n\\x0B\\f\\r]+"
+_WORDS = f"len(list_filter(string_split_regex(text, '{_WS}'), lambda w: w <> ''))"
+_PAGES_SQL = "pages_ AS (SELECT doc_id // 20 AS document_id, doc_id % 20 + 1 AS page, text FROM documents)"
+_NORMAL = "lower(trim(regexp_replace({0}, '" + _WS + "', ' ', 'g')))"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.floor(F.col("doc_id") / 20).alias("document_id"), (F.col("doc_id") % 20 + 1).alias("page"), "text")
+
+
+@query(f"SELECT doc_id, greatest(1, CAST(ceil({_WORDS} * 1.35::DOUBLE) AS BIGINT)) AS n_tokens, CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS n_quarter FROM documents")
+def heuristic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heuristic and character-based token counts of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", tx.heuristic_tokens(F.col("text")).alias("n_tokens"), tx.quarter_tokens(F.col("text")).alias("n_quarter"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, source, CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS n FROM documents),
+u AS (SELECT source, sum(n) AS used FROM t GROUP BY source), g AS (SELECT sum(n) AS used FROM t)
+SELECT doc_id, n AS n_tokens, CASE WHEN n > 4000 THEN 'document_budget_exceeded' WHEN u.used + n > 25000 THEN 'workspace_budget_exceeded'
+       WHEN g.used + n > 500000000 THEN 'global_budget_exceeded' ELSE 'ok' END AS verdict
+FROM t JOIN u ON u.source = t.source, g"""
+)
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document may be embedded: document, workspace and overall budgets, in that order, all strict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", tx.quarter_tokens(F.col("text")).alias("n_tokens"))
+    used = docs.groupBy("source").agg(F.sum("n_tokens").alias("used"))
+    total = used.agg(F.sum("used").alias("total"))  # one row
+    n = F.col("n_tokens")
+    verdict = (
+        F.when(n > 4000, "document_budget_exceeded").when(F.col("used") + n > 25000, "workspace_budget_exceeded")
+        .when(F.col("total") + n > 500000000, "global_budget_exceeded").otherwise("ok")
+    )
+    return docs.join(used, "source").crossJoin(F.broadcast(total)).select("doc_id", "n_tokens", verdict.alias("verdict"))
+
+
+@query(
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(user_id, -1) AS user_id, CAST(round(sum(value), 4) AS DOUBLE) AS n_tokens, count(*) AS n_jobs
+FROM events WHERE value > 0 GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d'), user_id), (strftime(ts, '%Y-%m-%d')))"""
+)
+def daily_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage a day by user and overall (user -1), from jobs with a positive estimate."""
+    events = table(spark, sf_dir, "events").filter("value > 0").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    per = events.groupingSets([["day", "user_id"], ["day"]], "day", "user_id")
+    used = per.agg(F.round(F.sum("value"), 4).alias("n_tokens"), F.count(F.lit(1)).alias("n_jobs"))
+    return used.withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, '[Document: ' || source || ' | Section: ' || trim(substr(trim(regexp_replace(trim(substr(split_part(text, chr(10), 1), 1, 120)), '[ \\t\\n]+', ' ', 'g')), 1, 60))
+  || ' | Pages: ' || (doc_id % 20 + 1) || ']' || chr(10) || text AS body FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '')
+SELECT doc_id, sha256(body) AS content_hash, 'rag_' || doc_id || '_1_' || (doc_id % 20 + 1) || '_0_' || substr(sha256(body), 1, 12) AS chunk_id FROM c"""
+)
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hash and chunk id of every document as one chunk."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.trim(F.get(F.split("text", "\n"), 0))
+    page = F.col("doc_id") % 20 + 1
+    docs = docs.filter(first != "")
+    section = F.rtrim(F.left(tx.collapsed(F.left(first, F.lit(120))), F.lit(60)))
+    body = chunking.contextual_text(F.col("source"), section, page, page, F.col("text"))
+    made = docs.select("doc_id", page.alias("page"), F.sha2(body, 256).alias("content_hash"))
+    return made.select("doc_id", "content_hash", F.concat(F.lit("rag_"), "doc_id", F.lit("_1_"), "page", F.lit("_0_"), F.left("content_hash", F.lit(12))).alias("chunk_id"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END) AS before FROM documents WHERE doc_id % 3 < 2)
+SELECT d.doc_id, CASE WHEN p.before IS NULL THEN 'new' WHEN p.before = sha256(d.text) THEN 'skipped_unchanged' ELSE 'synced' END AS outcome
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
+)
+def changed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the hashes of an earlier sync, in which a third had other text and a third was missing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    before = docs.filter("doc_id % 3 < 2").select("doc_id", F.sha2(earlier, 256).alias("before"))
+    outcome = F.when(F.col("before").isNull(), "new").when(F.col("before") == F.col("now"), "skipped_unchanged").otherwise("synced")
+    return docs.select("doc_id", F.sha2("text", 256).alias("now")).join(before, "doc_id", "left").select("doc_id", outcome.alias("outcome"))
+
+
+@query(
+    f"""WITH {_PAGES_SQL}, l AS (
+  SELECT document_id, page, unnest(list_distinct(list_slice(list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {_NORMAL.format("x")}),
+         lambda x: x <> '' AND length(x) <= 90), 1, 8))) AS line FROM pages_
+), n AS (SELECT document_id, least(3, count(*)) AS least FROM pages_ GROUP BY document_id)
+SELECT l.document_id, line, count(*) AS n_pages FROM l JOIN n ON n.document_id = l.document_id
+GROUP BY l.document_id, line HAVING count(*) >= min(n.least)"""
+)
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the first lines of several pages of a document share."""
+    return topics.repeated_lines(_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PAGES_SQL}, s AS (
+  SELECT document_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pages_
+), l AS (SELECT document_id, unnest(list_concat(list_slice(ls, 1, 3), list_slice(ls, greatest(1, len(ls) - 2), len(ls)))) AS line FROM s),
+n AS (SELECT document_id, greatest(3, CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT)) AS least FROM pages_ GROUP BY document_id)
+SELECT l.document_id, line, count(*) AS n FROM l JOIN n ON n.document_id = l.document_id GROUP BY l.document_id, line HAVING count(*) >= min(n.least)"""
+)
+def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running headers and footers: lines at the edges of many pages."""
+    return topics.boundary_lines(_pages(spark, sf_dir))
+
+
+@query()
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections between headings, or coarse page ranges."""
+    return topics.heading_sections(_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PAGES_SQL}, g AS (SELECT document_id, page, (row_number() OVER (PARTITION BY document_id ORDER BY page) - 1) // 5 AS part FROM pages_)
+SELECT document_id, part, min(page) AS page_start, max(page) AS page_end, count(*) AS n_pages,
+       CASE WHEN min(page) = max(page) THEN 'Page ' || min(page) ELSE 'Pages ' || min(page) || '-' || max(page) END AS title
+FROM g GROUP BY document_id, part"""
+)
+def fixed_page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of five consecutive pages."""
+    return topics.fixed_page_groups(_pages(spark, sf_dir))
+
+
+@query()
+def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping page windows under token and page limits."""
+    pages = _pages(spark, sf_dir)
+    return topics.page_windows(pages.select("document_id", "page", tx.quarter_tokens(F.col("text")).alias("tokens")), most_tokens=6000)
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents, lines taken as paragraphs."""
+    pages = _pages(spark, sf_dir).select(
+        F.col("document_id").cast("string").alias("document_id"), F.concat(F.lit("Document "), "document_id").alias("title"),
+        F.col("page").cast("int").alias("page_number"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
+    )
+    return chunking.chunk_documents(pages)
+
+
+@query(
+    f"""WITH {_PAGES_SQL}, w AS (SELECT document_id, page, {_WORDS} AS n FROM pages_)
+SELECT document_id, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_words FROM w GROUP BY document_id"""
+)
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and words of every document."""
+    words = F.size(F.filter(F.split("text", tx.SPACE + "+"), lambda w: w != "")).cast("long")
+    return _pages(spark, sf_dir).withColumn("n", words).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_words"))
+
+
+@query(
+    """WITH h AS (SELECT doc_id, sha256(text || ':0') || sha256(text || ':1') AS h FROM documents WHERE doc_id % 10 = 0),
+b AS (SELECT doc_id, list_transform(range(0, 64), lambda i: (('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::INTEGER) / 127.5::DOUBLE - 1.0::DOUBLE) AS v FROM h)
+SELECT doc_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS first, round(list_max(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS largest FROM b"""
+)
+def deterministic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-made vectors of every tenth document, the stated query set: first and largest entry."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
+    made = docs.select("doc_id", chunking.deterministic_vector(F.col("text")).alias("v"))
+    return made.select("doc_id", F.round(F.get("v", 0), 5).alias("first"), F.round(F.array_max("v"), 5).alias("largest"))
