@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import base, conversation, documents, knowledge, search, workflow  # noqa: F401
+from tessera.plans import base, bundles, conversation, documents, knowledge, search, workflow  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
