@@ -6,9 +6,8 @@ and kept with its position. Two texts that share a passage of at least
 ``k + window - 1`` characters share a chosen hash there (the match guarantee),
 and texts that share nothing of k characters share none but by chance.
 
-The hash of a k-gram is read off prefix sums modulo 2^64 (powers of an odd base
-are invertible there), so a text is hashed in a few array passes. A text shorter
-than k has one gram, itself; one with fewer grams than a window has one window.
+A text shorter than k has one gram, itself; one with fewer grams than a window
+has one window.
 
 Cases: a null text is empty; an empty text has no hash, and its likeness to
 another empty text is 1, to any other 0. Positions count code points. Extra
@@ -25,41 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._hashing import Rolling
 from tessera.llm._shared import written
 
 GRAM, WINDOW = 16, 32
-BASE = 0x9E3779B97F4A7C15
 #: Low bits of a choice key that hold the position counted from the end, so that the rightmost tie is least.
 PLACE_BITS = 26
 _PLACES = (1 << PLACE_BITS) - 1
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64, up to the n-th."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            run = np.full(size, base, dtype=np.uint64)
-            run[0] = 1
-            _powers[i] = np.cumprod(run)
-    return _powers[0], _powers[1]
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """A mixed 64-bit hash of every k-gram of ``codes``; of the whole if it is shorter."""
-    n = len(codes)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    k = min(k, n)
-    up, down = _powers_to(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h
+    return Rolling(codes).everywhere(min(k, len(codes))) if len(codes) else np.zeros(0, dtype=np.uint64)
 
 
 def winnow(text: str | None, k: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
