@@ -68,7 +68,7 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_doc")).agg(F.min(good).alias("outcome"))
     number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.\w+)?/?$", 1)
     shown = pages.select("url", F.when(number != "", number).cast("long").alias("_doc"))
-    labelled = shown.join(outcomes, "_doc").select("url", "outcome")
+    labelled = shown.join(outcomes, "_doc", "left").select("url", "outcome")
     judged = judge_urls(pages, labelled, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "posterior", "upper")
 
@@ -119,7 +119,43 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+_STRENGTH_SQL = """coalesce(greatest(2.0, least(1000.0, CASE WHEN sum({n} * (({g} / {n} - {m}) * ({g} / {n} - {m}) - {m} * (1 - {m}) / {n})) / sum({n}) > 0
+  THEN (sum({n} * {m} * (1 - {m})) / sum({n})) / (sum({n} * (({g} / {n} - {m}) * ({g} / {n} - {m}) - {m} * (1 - {m}) / {n})) / sum({n})) - 1 ELSE 1000.0 END)), 2.0)"""
+
 ORACLES = {
+    "op5_url_reputation": f"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), o AS (
+  SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS y FROM labels GROUP BY doc_id
+), h0 AS (
+  SELECT host, string_split(host, '.') AS ls, CAST(count(y) AS DOUBLE) AS n, CAST(coalesce(sum(y), 0) AS DOUBLE) AS good
+  FROM p LEFT JOIN o ON o.doc_id = CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.\w+)?/?$', 1), '') AS BIGINT) GROUP BY host
+), h1 AS (
+  SELECT *, CASE WHEN len(ls) > 2 AND ls[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND length(ls[-1]) = 2 THEN ls[-2] || '.' || ls[-1] ELSE ls[-1] END AS suffix FROM h0
+), h AS (
+  SELECT *, CASE WHEN len(ls) >= len(string_split(suffix, '.')) + 1 THEN array_to_string(ls[-(len(string_split(suffix, '.')) + 1):], '.') ELSE host END AS domain FROM h1
+), d AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h GROUP BY suffix, domain),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY suffix),
+t AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 0.5 END AS top FROM s),
+ss AS (SELECT {_STRENGTH_SQL.format(n="n", g="good", m="top")} AS k FROM s, t WHERE n > 0),
+sm AS (SELECT suffix, (good + k * top) / (n + k) AS smean FROM s, t, ss),
+ds AS (SELECT {_STRENGTH_SQL.format(n="n", g="good", m="smean")} AS k FROM d JOIN sm USING (suffix) WHERE n > 0),
+dm AS (SELECT domain, suffix, (good + k * smean) / (n + k) AS dmean FROM d JOIN sm USING (suffix), ds),
+hs AS (SELECT {_STRENGTH_SQL.format(n="n", g="good", m="dmean")} AS k FROM h JOIN dm USING (domain, suffix) WHERE n > 0),
+hm AS (SELECT host, (good + k * dmean) / (n + k) AS mean, n + k AS w FROM h JOIN dm USING (domain, suffix), hs),
+r AS (SELECT host, mean, least(mean + 1.645 * sqrt(greatest(mean * (1 - mean), 0.0) / (w + 1)), 1.0) AS upper FROM hm),
+j AS (SELECT page_id, p.host, path, mean, upper, CASE
+    WHEN (p.host = 'example.com' OR suffix(p.host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (p.host = 'example.net' OR suffix(p.host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (p.host = 'com' OR suffix(p.host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (p.host = 'net' OR suffix(p.host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (p.host = 'org' OR suffix(p.host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM p JOIN r ON r.host = p.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN upper < 0.8 THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS posterior, round(upper, 6) AS upper FROM j
+""",
     "op8_chat_format": """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations

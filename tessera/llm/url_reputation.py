@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import written
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Second-level labels under which registrations are made, as in ``co.uk``.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -98,6 +100,7 @@ def host_reputation(pages: DataFrame, url: str = "url", outcome: str = "outcome"
         .agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("good"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
+    hosts = written(hosts, "hosts")  # a row a host; each level below reads it again
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))
     total = suffixes.agg(F.sum("sn").alias("tn"), F.sum("sgood").alias("tgood")).select(
@@ -108,11 +111,11 @@ def host_reputation(pages: DataFrame, url: str = "url", outcome: str = "outcome"
     level = level.crossJoin(one_row(_strength(level, "sn", "sgood", "top"))).select(
         "suffix", ((F.col("sgood") + F.col("strength") * F.col("top")) / (F.col("sn") + F.col("strength"))).alias("smean")
     )
-    mid = domains.join(level, "suffix")
+    mid = domains.join(written(level, "suffixes"), "suffix")
     mid = mid.crossJoin(one_row(_strength(mid, "dn", "dgood", "smean"))).select(
         "domain", "suffix", ((F.col("dgood") + F.col("strength") * F.col("smean")) / (F.col("dn") + F.col("strength"))).alias("dmean")
     )
-    low = hosts.join(mid, ["domain", "suffix"])
+    low = hosts.join(written(mid, "domains"), ["domain", "suffix"])
     low = low.crossJoin(one_row(_strength(low, "n", "good", "dmean")))
     alpha = F.col("good") + F.col("strength") * F.col("dmean")
     weight = F.col("n") + F.col("strength")
