@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, topics
+from tessera.operators import chunking, continuation, topics
 from tessera.plans.base import query, table
 
 _WS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -173,3 +173,17 @@ def deterministic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
     made = docs.select("doc_id", chunking.deterministic_vector(F.col("text")).alias("v"))
     return made.select("doc_id", F.round(F.get("v", 0), 5).alias("first"), F.round(F.array_max("v"), 5).alias("largest"))
+
+
+@query()
+def topic_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections extended over marked page breaks; every seventh page is marked as continued."""
+    pages = _pages(spark, sf_dir)
+    ends = F.when(F.col("page") % 7 == 0, F.concat("text", F.lit("\nContinued on next page"))).otherwise(F.col("text"))
+    starts = F.when(F.col("page") % 7 == 1, F.concat(F.lit("Continued\n"), ends)).otherwise(ends)
+    marked = pages.withColumn("text", starts)
+    sections = topics.heading_sections(pages).select(
+        "document_id", F.col("page_start").alias("topic_id"), F.col("heading").alias("title"), F.array("heading").alias("headings"),
+        F.sequence("page_start", "page_end").alias("pages"),
+    )
+    return continuation.resolve_continuations(marked, sections)

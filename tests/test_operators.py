@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import graph, lifecycle, retrieval, routing, topics
+from tessera.operators import continuation, graph, lifecycle, retrieval, routing, topics
 from tessera.sources import bundles
 
 
@@ -133,3 +133,15 @@ def test_partition_replacement(spark, tmp_path):
     bundles.replace_partition(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, "k")
     bundles.replace_partition(spark.createDataFrame([(2, "c")], "k int, v string"), path, "k")
     assert values(spark.read.parquet(path).select("k", "v")) == [(1, "a"), (2, "c")]
+
+
+def test_continuations(spark):
+    pages = spark.createDataFrame([
+        (1, 129, "text"), (1, 130, "SMOKE FIRE FUMES\ntext\nContinued on next page"), (1, 131, "SMOKE FIRE FUMES (CONTINUED)\ntext\ncontinued overleaf"),
+        (1, 132, "cont'd\ntext"), (1, 140, "Continued on next page"), (1, 142, "continued"),
+    ], "document_id long, page long, text string")
+    topics_ = spark.createDataFrame([(1, 1, "Smoke Fire Fumes", ["SMOKE FIRE FUMES"], [130]), (1, 2, "Other", ["OTHER"], [133])], "document_id long, topic_id long, title string, headings array<string>, pages array<long>")
+    got = {r.topic_id: (r.pages, r.added, r.ambiguous) for r in continuation.resolve_continuations(pages, topics_).collect()}
+    assert got == {1: ([130, 131, 132], [131, 132], []), 2: ([133], [], [])}
+    two = [{"topic_id": i, "title": t, "headings": [], "pages": [5]} for i, t in enumerate("ab")]
+    assert [t["ambiguous"] for t in continuation.extend_topics(two, [(5, "continued on next page", "continued")])] == [[5], [5]]
