@@ -131,7 +131,7 @@ WITH p AS (
   SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS y FROM labels GROUP BY doc_id
 ), h0 AS (
   SELECT host, string_split(host, '.') AS ls, CAST(count(y) AS DOUBLE) AS n, CAST(coalesce(sum(y), 0) AS DOUBLE) AS good
-  FROM p LEFT JOIN o ON o.doc_id = CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.\w+)?/?$', 1), '') AS BIGINT) GROUP BY host
+  FROM p LEFT JOIN o ON o.doc_id = CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][A-Za-z0-9_]+)?/?$', 1), '') AS BIGINT) GROUP BY host
 ), h1 AS (
   SELECT *, CASE WHEN len(ls) > 2 AND ls[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND length(ls[-1]) = 2 THEN ls[-2] || '.' || ls[-1] ELSE ls[-1] END AS suffix FROM h0
 ), h AS (
