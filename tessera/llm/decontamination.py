@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages of ``PASSAGE`` words are unit TF-IDF vectors over hashed words. Word
-   statistics come from all documents.
+1. Texts become word hashes, once. Passages of ``PASSAGE`` words are unit TF-IDF
+   vectors over hashed words. Word statistics come from all documents.
 2. A randomised SVD of the passage matrix A finds the latent space: Z = A'(A R)
    with a random R, an orthonormal basis Q of Z, one power step Z = A'(A Q), and
    the eigenvectors of Q'Z. Both products are summed up by Spark; only the
@@ -9,6 +9,7 @@
 3. Segments of the benchmark items and sliding windows of the documents are
    folded into that space (scaled by the inverse singular values) and compared
    by cosine; pairs above ``least_cosine`` that have words in common are candidates.
+   Windows whose weight lies nearly all in words of no item are passed over.
 4. A candidate's surroundings are compared with the whole item by the longest
    common subsequence of words. A document leaks an item if the subsequence
    covers ``least_lcs`` of the item, or, for a paraphrase, ``paraphrase_lcs`` of it
@@ -35,87 +36,106 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh32_intdigest
 
+from tessera.llm._shared import written
 from tessera.llm.toxicity import words_of
 
-BUCKETS, RANK, PASSAGE = 8192, 48, 16
+BUCKETS, RANK, PASSAGE = 8192, 32, 16
 SLICE_ITEMS = 5000
 BATCH_WORDS = 1 << 16
 ROWS_A_BLOCK = 512
+VOCABULARY_BITS = 20
 #: Window lengths; an item is cut into segments of the longest that it fills.
 WINDOWS = (16, 8, 4, 2, 1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxh32_intdigest, words), dtype=np.uint32, count=len(words))
 
 
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+def tokenised(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns and ``_words``, the 32-bit hashes of the words; written, since several passes read it."""
+    source = docs.select(*keep, F.col(text).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
+    def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_hashes(words_of(t)).tobytes() for t in batch.column("_text").to_pylist()]
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=[*keep, "_words"])
 
-def _joined(texts: Iterator[str | None]) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Words of several texts at a time, all their hashes, and where each text begins and ends among them."""
-    held, size = [], 0
-    for text in texts:
-        held.append(words_of(text))
-        size += len(held[-1])
-        if size >= BATCH_WORDS:
-            yield _bounds(held)
-            held, size = [], 0
-    if held:
-        yield _bounds(held)
+    return written(source.mapInArrow(hash_words, f"{schema}, _words binary"), "words")
 
 
-def _bounds(held: list[list[bytes]]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(w) for w in held])))
-    return held, word_hashes([w for words in held for w in words]), bounds
+def _joined(held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of several texts at a time, and where each text begins and ends among them."""
+    at, size = 0, 0
+    for i, words in enumerate(held):
+        size += len(words) // 4
+        if size >= BATCH_WORDS or i + 1 == len(held):
+            part = held[at : i + 1]
+            yield np.frombuffer(b"".join(part), dtype=np.uint32), np.concatenate((np.zeros(1, np.int64), np.cumsum([len(w) // 4 for w in part])))
+            at, size = i + 1, 0
+
+
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint32(BUCKETS)).astype(np.int32)
 
 
-def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
+def inverse_frequencies(words: DataFrame) -> np.ndarray:
     """The inverse document frequency of every bucket, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in batches:
-            for held, hashes, bounds in _joined(batch.column(0).to_pylist()):
-                document = np.repeat(np.arange(len(held)), np.diff(bounds))
-                seen = np.unique(document * BUCKETS + _buckets(hashes))
-                df += np.bincount(seen % BUCKETS, minlength=BUCKETS)
-                n += len(held)
+            for hashes, bounds in _joined(batch.column(0).to_pylist()):
+                for first in range(0, len(bounds) - 1, 1000):  # rows of flags for at most 1000 documents
+                    part = bounds[first : first + 1001]
+                    seen = np.zeros((len(part) - 1, BUCKETS), dtype=bool)
+                    seen[np.repeat(np.arange(len(part) - 1), np.diff(part)), _buckets(hashes[part[0] : part[-1]])] = True
+                    df += seen.sum(axis=0)
+                n += len(bounds) - 1
         yield pa.RecordBatch.from_pydict({"bucket": np.arange(-1, BUCKETS), "df": np.concatenate(([n], df))})
 
-    rows = docs.select(text).mapInArrow(count, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
+    rows = words.select("_words").mapInArrow(count, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(BUCKETS + 1)
     for bucket, n in rows:  # BUCKETS + 1 rows
         df[bucket + 1] = n
     return np.log((df[0] + 1.0) / (df[1:] + 1.0)) + 0.05
 
 
-def _gram_times(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _passages(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row of distinct buckets a passage, filled up with BUCKETS; no passage spans two texts."""
+    sizes = np.diff(bounds)
+    rows = -(-sizes // PASSAGE)
+    before = np.cumsum(rows) - rows
+    place = np.arange(len(hashes)) + np.repeat(before * PASSAGE - bounds[:-1], sizes)
+    out = np.full(int(rows.sum()) * PASSAGE, BUCKETS, dtype=np.uint16)
+    out[place] = _buckets(hashes)
+    out = np.sort(out.reshape(-1, PASSAGE), axis=1)
+    out[:, 1:][out[:, 1:] == out[:, :-1]] = BUCKETS
+    return out
+
+
+def _gram_times(words: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) over the unit TF-IDF vectors of all passages, summed in two levels."""
-    held = docs.sparkSession.sparkContext.broadcast((idf, basis))  # BUCKETS x RANK floats
+    held = words.sparkSession.sparkContext.broadcast((idf, basis))  # BUCKETS x RANK floats
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = held.value
-        scaled = (basis * idf[:, None]).astype(np.float32)
+        scaled = np.vstack((basis * idf[:, None], np.zeros((1, basis.shape[1])))).astype(np.float32)
+        squares = np.append(idf * idf, 0.0)
         total = np.zeros((BUCKETS, basis.shape[1]))
         for batch in batches:
-            for words, hashes, bounds in _joined(batch.column(0).to_pylist()):
+            for hashes, bounds in _joined(batch.column(0).to_pylist()):
                 if not len(hashes):
                     continue
-                at = _buckets(hashes)
-                inside = np.arange(len(at)) - np.repeat(bounds[:-1], np.diff(bounds))
-                starts = np.flatnonzero(inside % PASSAGE == 0)
-                passage = np.cumsum(inside % PASSAGE == 0) - 1
-                # Squared norms take repeated words of a passage together.
-                pair, n = np.unique(passage * BUCKETS + at, return_counts=True)
-                square = np.bincount(pair // BUCKETS, weights=(n * idf[pair % BUCKETS]) ** 2, minlength=len(starts))
-                y = np.add.reduceat(scaled[at], starts, axis=0) / np.maximum(square, 1e-12)[:, None]
-                y = y[passage]
-                for j in range(basis.shape[1]):
-                    total[:, j] += np.bincount(at, weights=y[:, j], minlength=BUCKETS)
+                at = _passages(hashes, bounds)
+                y = scaled[at].sum(axis=1) / np.maximum(squares[at].sum(axis=1), 1e-12)[:, None]
+                flat, y = at.ravel(), np.ascontiguousarray(y.T)
+                for j in range(len(y)):
+                    total[:, j] += np.bincount(flat, weights=np.repeat(y[j], PASSAGE), minlength=BUCKETS + 1)[:BUCKETS]
         total *= idf[:, None]
         part = TaskContext.get().partitionId()
         for k in range(0, BUCKETS, ROWS_A_BLOCK):
@@ -126,7 +146,7 @@ def _gram_times(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray)
         return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
 
     schema = "block int, part int, sums binary"
-    parts = docs.select(text).mapInArrow(multiply, schema)
+    parts = words.select("_words").mapInArrow(multiply, schema)
     some = parts.withColumn("part", F.col("part") % 64).groupBy("block", "part").applyInArrow(add, schema)
     rows = some.groupBy("block").applyInArrow(add, schema).collect()
     out = np.zeros((BUCKETS, basis.shape[1]))
@@ -137,28 +157,30 @@ def _gram_times(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray)
 
 @dataclass(frozen=True)
 class LatentSpace:
-    """``fold[bucket]`` is what one occurrence of a word adds to a latent vector."""
+    """``fold[bucket]`` is what a word adds to a latent vector, ``idf`` its weight; the last row stands for no word."""
 
     fold: np.ndarray
+    idf: np.ndarray
 
-    def sums(self, hashes: np.ndarray) -> np.ndarray:
-        """Running sums, so that the vector of words i to j is row j less row i."""
-        out = np.zeros((len(hashes) + 1, self.fold.shape[1]))
-        np.cumsum(self.fold[_buckets(hashes)], axis=0, out=out[1:])
-        return out
+    def vectors(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+        """Unit vectors of the words from each start to its end, at most ``width`` of them."""
+        at = starts[:, None] + np.arange(width)
+        bucket = np.where(at < ends[:, None], _buckets(hashes[np.minimum(at, len(hashes) - 1)]), BUCKETS)
+        return _unit(self.fold[bucket].sum(axis=1))
 
 
-def fit_latent_space(docs: DataFrame, text: str = "text", rank: int = RANK, seed: int = 7) -> LatentSpace:
-    """Randomised SVD of the passages of all documents."""
-    idf = inverse_frequencies(docs, text)
+def fit_latent_space(words: DataFrame, rank: int = RANK, seed: int = 7) -> LatentSpace:
+    """Randomised SVD of the passages of all documents, whose word hashes are in ``_words``."""
+    idf = inverse_frequencies(words)
     start = np.random.default_rng(seed).standard_normal((BUCKETS, rank))
-    q, _ = np.linalg.qr(_gram_times(docs, text, idf, start))
-    z = _gram_times(docs, text, idf, q)
+    q, _ = np.linalg.qr(_gram_times(words, idf, start))
+    z = _gram_times(words, idf, q)
     values, rotation = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
     singular = np.sqrt(np.maximum(values, 0.0))
     used = singular > 1e-6 * max(float(singular.max()), 1e-12)
     scale = np.where(used, 1.0 / np.where(used, singular, 1.0), 0.0)
-    return LatentSpace((q @ rotation) * scale * idf[:, None])
+    fold = (q @ rotation) * scale * idf[:, None]
+    return LatentSpace(np.vstack((fold, np.zeros((1, rank)))).astype(np.float32), np.append(idf, 0.0))
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -184,29 +206,35 @@ def answer_of(text: str) -> str:
 
 @dataclass(frozen=True)
 class Items:
-    """Benchmark items as word hashes, and their segments in the latent space by window length."""
+    """Benchmark items as word hashes, their segments in the latent space by window length, and their vocabulary."""
 
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
     segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # vectors, item, offset
+    vocabulary: np.ndarray  # flags by the low bits of a word's hash
 
 
 def prepare_items(rows: list[tuple[int, str | None]], space: LatentSpace) -> Items:
     held = [(i, t, word_hashes(words_of(t))) for i, t in rows]
     held = [(i, t, h) for i, t, h in held if len(h)]
     found: dict[int, tuple[list, list, list]] = {}
+    vocabulary = np.zeros(1 << VOCABULARY_BITS, dtype=bool)
     for k, (_, _, h) in enumerate(held):
+        vocabulary[_low(h)] = True
         width = next(w for w in WINDOWS if w <= len(h))
-        sums = space.sums(h)
-        starts = sorted({*range(0, len(h) - width + 1, max(1, (width * 5) // 16)), len(h) - width})
+        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, (width * 5) // 16)), len(h) - width}))
         vectors, item, offset = found.setdefault(width, ([], [], []))
-        for s in starts:
-            vectors.append(_unit((sums[s + width] - sums[s])[None, :])[0])
-            item.append(k)
-            offset.append(s)
-    segments = {w: (np.stack(v).astype(np.float32), np.array(i), np.array(o)) for w, (v, i, o) in found.items()}
-    return Items([i for i, _, _ in held], [h.tolist() for _, _, h in held], [word_hashes(words_of(answer_of(t))).tolist() for _, t, _ in held], segments)
+        vectors.append(space.vectors(h, starts, starts + width, width))
+        item += [k] * len(starts)
+        offset += starts.tolist()
+    segments = {w: (np.concatenate(v).astype(np.float32), np.array(i), np.array(o)) for w, (v, i, o) in found.items()}
+    answers = [word_hashes(words_of(answer_of(t))).tolist() for _, t, _ in held]
+    return Items([i for i, _, _ in held], [h.tolist() for _, _, h in held], answers, segments, vocabulary)
+
+
+def _low(hashes: np.ndarray) -> np.ndarray:
+    return hashes & np.uint32((1 << VOCABULARY_BITS) - 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -215,10 +243,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Limits:
-    """What counts as a candidate and as a leak."""
+    """What counts as a candidate and as a leak.
+
+    ``least_known`` is the share of a window's word weight that benchmark words
+    must have before the window is compared with any segment.
+    """
 
+    least_known: float = 0.5
     least_cosine: float = 0.6
-    least_common: float = 0.3
+    least_common: float = 0.45
     least_lcs: float = 0.8
     paraphrase_lcs: float = 0.55
     least_answer: float = 0.8
@@ -227,29 +260,31 @@ class Limits:
 def _windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of windows within each text; the last one ends with the text."""
     step = max(1, width // 4)
-    starts, ends = [], []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b > a:
-            s = np.arange(a, max(a, b - width) + 1, step)
-            if s[-1] + width < b:
-                s = np.append(s, b - width)
-            starts.append(s)
-            ends.append(np.minimum(s + width, b))
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(starts), np.concatenate(ends)) if starts else (none, none)
+    a, b = bounds[:-1], bounds[1:]
+    some = b > a
+    a, b = a[some], b[some]
+    steps = np.maximum(0, -(-(b - a - width) // step)) + 1
+    first = np.cumsum(steps) - steps
+    number = np.arange(int(steps.sum())) - np.repeat(first, steps)
+    starts = np.minimum(np.repeat(a, steps) + number * step, np.repeat(np.maximum(a, b - width), steps))
+    return starts, np.minimum(starts + width, np.repeat(b, steps))
 
 
 def leaks_among(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> list[tuple[int, int, float, float, float, int]]:
     """(text, item, cosine, lcs share, answer share, first word) of each leak in the joined texts."""
     best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     tried: set[tuple[int, int, int]] = set()
-    sums = space.sums(hashes)
+    weight = space.idf[_buckets(hashes)]
+    running = np.concatenate((np.zeros(1), np.cumsum(weight)))
+    known = np.concatenate((np.zeros(1), np.cumsum(weight * items.vocabulary[_low(hashes)])))
     for width, (vectors, item, offset) in items.segments.items():
         starts, ends = _windows(bounds, width)
+        near = known[ends] - known[starts] >= limits.least_known * (running[ends] - running[starts])
+        starts, ends = starts[near], ends[near]
         text = np.searchsorted(bounds, starts, side="right") - 1
         for at in range(0, len(starts), 4096):
             s, e = starts[at : at + 4096], ends[at : at + 4096]
-            cosine = _unit(sums[e] - sums[s]).astype(np.float32) @ vectors.T
+            cosine = space.vectors(hashes, s, e, width) @ vectors.T
             for w, g in zip(*np.nonzero(cosine >= limits.least_cosine), strict=True):
                 k, doc = int(item[g]), int(text[at + w])
                 words = items.words[k]
@@ -277,9 +312,9 @@ def find_leaks(
     limits: Limits = Limits(), space: LatentSpace | None = None,
 ) -> DataFrame:
     """``keep`` columns, item_id, cosine, lcs_share, answer_share and first_word of every leak."""
-    space = space or fit_latent_space(docs, text)
+    source = tokenised(docs, text, keep)
+    space = space or fit_latent_space(source)
     spark = docs.sparkSession
-    source = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema += ", item_id long, cosine double, lcs_share double, answer_share double, first_word long"
     names = [*keep, "item_id", "cosine", "lcs_share", "answer_share", "first_word"]
@@ -294,11 +329,11 @@ def find_leaks(
             space, prepared = held.value
             for batch in batches:
                 row, rest, first = [], [], 0
-                for words, hashes, bounds in _joined(batch.column("_text").to_pylist()):
+                for hashes, bounds in _joined(batch.column("_words").to_pylist()):
                     for doc, item, *values in leaks_among(hashes, bounds, prepared, space, limits):
                         row.append(first + doc)
                         rest.append((prepared.ids[item], *values))
-                    first += len(words)
+                    first += len(bounds) - 1
                 columns = [batch.column(i).take(pa.array(row, pa.int64())) for i in range(batch.num_columns - 1)]
                 kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 columns += [pa.array([r[i] for r in rest], t) for i, t in enumerate(kinds)]

@@ -38,6 +38,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm._hashing import Rolling
 from tessera.llm._shared import shared_dir, written
-from tessera.llm.winnowing import gram_hashes
 
 LEAST, RANKED = 50, 20
 #: A perfect difference cover modulo 31, and its modulus.
@@ -67,52 +68,65 @@ class Chunk:
         self.data = np.frombuffer(data, dtype=np.uint8)
         self.starts = np.concatenate((np.zeros(1, np.int64), self.ends[:-1]))
         self.document = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.ends - self.starts)
+        self.rolling = Rolling(self.data)
+
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cover's positions, counted from each document's start, and their names."""
+        lengths = self.ends - self.starts
+        pattern = np.resize(_in_cover, int(lengths.max(initial=0)))
+        sampled = np.zeros(len(self.data), dtype=bool)
+        for a, n in zip(self.starts.tolist(), lengths.tolist(), strict=True):
+            sampled[a : a + max(0, n - RANKED + 1)] = pattern[: max(0, n - RANKED + 1)]
+        at = np.flatnonzero(sampled)
+        return at, self.rolling.at(at, RANKED) >> np.uint64(1)
+
+    def shared(self, told: list[dict] | None, rank_cut: np.uint64, shift: int) -> np.ndarray:
+        """Sampled positions whose rank another document has: one of this chunk, or of another as ``told``."""
+        at, names = self.ranked()
+        if not len(at):
+            return at
+        order = np.argsort(names)
+        names, at = names[order], at[order]
+        cut = names >> rank_cut
+        new = np.concatenate(([True], cut[1:] != cut[:-1]))
+        bits = _bits(told, _bucket_sizes(cut[new], shift))
+        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        of = self.document[at]
+        here = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+        return at[bits[np.cumsum(new) - 1] | np.repeat(here, np.diff(np.append(starts, len(at))))]
 
-    def _inside(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Of the positions, those whose next ``length`` bytes lie in one document."""
-        return at[at + length <= self.ends[self.document[at]]]
-
-    def samples(self) -> np.ndarray:
-        """The cover's positions, counted from each document's start."""
-        if len(self.data) < RANKED:
-            return np.zeros(0, dtype=np.int64)
-        at = np.flatnonzero(_in_cover[(np.arange(len(self.data)) - self.starts[self.document]) % MODULUS])
-        return self._inside(at, RANKED)
-
-    def ranked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled positions, their names, and which names two documents of the chunk have."""
-        at = self.samples()
-        names = gram_hashes(self.data, RANKED)[at] >> np.uint64(1) if len(at) else np.zeros(0, np.uint64)
-        return at, names, _shared_here(names, self.document[at])
-
-    def open_suffixes(self, shared: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of suffixes that a shared rank reaches, and the names of their first 50 bytes.
+    def open_suffixes(self, shared: np.ndarray, skipped: list[int]) -> Suffixes:
+        """The suffixes that a shared rank reaches within their first 50 bytes, sorted by the name of these.
 
         ``shared`` are sampled positions, ``skipped`` documents to leave out.
         """
         n = len(self.data)
-        if n < LEAST or not len(shared):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        edge = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(edge, np.maximum(shared + RANKED - LEAST, self.starts[self.document[shared]]), 1)
-        np.add.at(edge, shared + 1, -1)
-        at = self._inside(np.flatnonzero(np.cumsum(edge[:-1]) > 0), LEAST)
-        if len(skipped):
-            at = at[~np.isin(self.document[at], skipped)]
-        return at, gram_hashes(self.data, LEAST)[at] if len(at) else np.zeros(0, np.uint64)
-
-
-def _shared_here(names: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """For each entry whether another document has the same name."""
-    if not len(names):
-        return np.zeros(0, dtype=bool)
-    order = np.argsort(names, kind="stable")
-    n, d = names[order], document[order]
-    starts = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
-    mixed = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
-    out = np.empty(len(names), dtype=bool)
-    out[order] = np.repeat(mixed, np.diff(np.append(starts, len(n))))
-    return out
+        edge = np.bincount(np.maximum(shared + RANKED - LEAST, self.starts[self.document[shared]]), minlength=n + 1)
+        edge -= np.bincount(shared + 1, minlength=n + 1)
+        reached = np.cumsum(edge[:n]) > 0
+        for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
+            reached[max(a, b - LEAST + 1) : b] = False
+        for k in skipped:
+            reached[self.starts[k] : self.ends[k]] = False
+        at = np.flatnonzero(reached)
+        names = self.rolling.at(at, LEAST)
+        order = np.argsort(names)
+        names, at = names[order], at[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), names[1:] != names[:-1])))
+        of = self.document[at]
+        least = np.minimum.reduceat(of, starts) if len(at) else of
+        return Suffixes(at, of, names[starts], least, np.diff(np.append(starts, len(at))))
+
+
+@dataclass(frozen=True)
+class Suffixes:
+    """Suffixes sorted by name: positions, documents; the distinct names, the first document and the number of each."""
+
+    at: np.ndarray
+    document: np.ndarray
+    names: np.ndarray
+    least: np.ndarray
+    sizes: np.ndarray
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
@@ -243,10 +257,11 @@ def _earlier_suffixes(table: pa.Table) -> pa.Table:
     lists = [_unpack_sorted(x) for x in table.column("names").to_pylist()]
     owners = []
     for n, extra in zip(map(len, lists), table.column("extra").to_pylist(), strict=True):
-        place = np.frombuffer(extra, dtype="<u4", count=n)
-        owners.append(np.frombuffer(extra, dtype="<i8", offset=4 * n)[place])
+        kind = np.dtype(f"<u{extra[0]}")
+        place = np.frombuffer(extra, dtype=kind, count=n, offset=1)
+        owners.append(np.frombuffer(extra, dtype="<i8", offset=1 + n * kind.itemsize)[place])
     names, ids = np.concatenate(lists), np.concatenate(owners)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     n, d = names[order], ids[order]
     starts = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
     hit = np.empty(len(n), dtype=bool)
@@ -255,19 +270,10 @@ def _earlier_suffixes(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
 
 
-def _least_of_names(chunk: Chunk, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct names ascending, the smallest document of each, and for each entry the place of its name."""
-    unique, first, place = np.unique(names, return_index=True, return_inverse=True)
-    return unique, chunk.document[at][first], place  # documents ascend with the positions, and first is the first position
-
-
-def removed_runs(chunk: Chunk, at: np.ndarray, doomed: np.ndarray) -> np.ndarray:
-    """A mask of the bytes that the doomed suffixes' first 50 bytes cover."""
-    edge = np.zeros(len(chunk.data) + 1, dtype=np.int32)
-    hit = at[doomed]
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + LEAST, -1)
-    return np.cumsum(edge[:-1]) > 0
+def removed_bytes(n: int, hit: np.ndarray) -> np.ndarray:
+    """A mask of the ``n`` bytes that the first 50 bytes of the suffixes at ``hit`` cover."""
+    edge = np.bincount(hit, minlength=n + 1) - np.bincount(hit + LEAST, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -282,14 +288,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # A chunk has some 0.8 million samples; a bucket should have BUCKET_ENTRIES of them.
     bits = max(6, math.ceil(math.log2(n_chunks * CHUNK_BYTES * len(COVER) / MODULUS / BUCKET_ENTRIES)))
     use_bits = min(bits, 24)
-    name_shift = 63 - use_bits
     rank_cut = np.uint64(63 - use_bits - rank_shift)
     suffix_shift = 64 - use_bits
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, *held in zip(*(batch.column(c).to_pylist() for c in _CHUNK), strict=True):
-                _, names, _ = Chunk(*held).ranked()
+                _, names = Chunk(*held).ranked()
                 rows = list(_ask(number, np.unique(names >> rank_cut), use_bits, rank_shift, lambda _: b""))
                 if rows:
                     yield _batch(rows, _QUESTION)
@@ -313,27 +318,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     copies = listed.join(firsts, F.col("sha") == F.col("_sha")).filter("id > first")
     copied = written(copies.groupBy("chunk").agg(F.sort_array(F.collect_list("place")).alias("copies")), "copies")
 
-    def opened(held: list[bytes], told: list[dict] | None, copies: list[int] | None) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    def opened(held: list[bytes], told: list[dict] | None, copies: list[int] | None) -> tuple[Chunk, Suffixes]:
         """The chunk and its open suffixes, given the shared ranks."""
         chunk = Chunk(*held)
-        at, names, here = chunk.ranked()
-        cut = names >> rank_cut
-        unique = np.unique(cut)
-        bits = _bits(told, _bucket_sizes(unique, rank_shift))
-        met = here | bits[np.searchsorted(unique, cut)] if len(unique) else here
-        return chunk, *chunk.open_suffixes(at[met], np.array(copies or [], dtype=np.int64))
+        return chunk, chunk.open_suffixes(chunk.shared(told, rank_cut, rank_shift), copies or [])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, told, copies, *held in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ranks", "copies", *_CHUNK[1:])), strict=True):
-                chunk, at, names = opened(held, told, copies)
-                unique, least, _ = _least_of_names(chunk, at, names)
+                chunk, found = opened(held, told, copies)
 
-                def owner(part: slice, chunk: Chunk = chunk, least: np.ndarray = least) -> bytes:
-                    own, place = np.unique(least[part], return_inverse=True)
-                    return place.astype("<u4").tobytes() + chunk.ids[own].tobytes()
+                def owner(part: slice, chunk: Chunk = chunk, found: Suffixes = found) -> bytes:
+                    own, place = np.unique(found.least[part], return_inverse=True)
+                    width = next(w for w in (1, 2, 4) if len(own) <= 1 << (8 * w))
+                    return bytes([width]) + place.astype(f"<u{width}").tobytes() + chunk.ids[own].tobytes()
 
-                rows = list(_ask(number, unique, use_bits, suffix_shift, owner))
+                rows = list(_ask(number, found.names, use_bits, suffix_shift, owner))
                 if rows:
                     yield _batch(rows, _QUESTION)
 
@@ -349,11 +349,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         names_in = ("chunk", "ranks", "copies", "earlier", "rest", *_CHUNK[1:])
         for batch in batches:
             for _, told, copies, answer, rest, *held in zip(*(batch.column(c).to_pylist() for c in names_in), strict=True):
-                chunk, at, names = opened(held, told, copies)
-                unique, least, place = _least_of_names(chunk, at, names)
-                before = _bits(answer, _bucket_sizes(unique, suffix_shift))
-                here = chunk.ids[chunk.document[at]] > chunk.ids[least[place]] if len(at) else np.zeros(0, bool)
-                gone = removed_runs(chunk, at, here | before[place] if len(at) else here)
+                chunk, found = opened(held, told, copies)
+                before = _bits(answer, _bucket_sizes(found.names, suffix_shift))
+                here = chunk.ids[found.document] > np.repeat(chunk.ids[found.least], found.sizes)
+                gone = removed_bytes(len(chunk.data), found.at[here | np.repeat(before, found.sizes)])
                 for k in copies or []:
                     if chunk.ends[k] - chunk.starts[k] >= LEAST:
                         gone[chunk.starts[k] : chunk.ends[k]] = True

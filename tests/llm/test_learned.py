@@ -99,9 +99,9 @@ def test_latent_space_matches_exact_svd(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices([f"w{g}{i}" for i in range(5)], k=16)) for g in range(6) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOC)
-    space = decontamination.fit_latent_space(docs, rank=8)
-    v = np.stack([space.sums(decontamination.word_hashes(decontamination.words_of(t)))[-1] for t in texts])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    space = decontamination.fit_latent_space(decontamination.tokenised(docs, "text", ("doc_id",)), rank=6)
+    held = [decontamination.word_hashes(decontamination.words_of(t)) for t in texts]
+    v = np.concatenate([space.vectors(h, np.array([0]), np.array([len(h)]), 16) for h in held])
     near = v @ v.T
     same = np.array([[a // 40 == b // 40 for b in range(len(texts))] for a in range(len(texts))])
     assert near[same].mean() > 0.6 > 0.2 > np.abs(near[~same]).mean()
