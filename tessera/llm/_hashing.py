@@ -9,13 +9,14 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
+STEP = 1 << 18
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64, up to the n-th at least."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        size = -(-n // STEP) * STEP  # no doubling: the powers stay in a worker as long as it lives
         for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             run = np.full(size, base, dtype=np.uint64)
             run[0] = 1

@@ -47,7 +47,7 @@ _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 #: A full stop or comma that ends a word: the tokenizer parts it from the letters, too.
 _LAST_MARK = re.compile(r"([.,])(?<=[^\W\d_].)(?!\S)")
 #: Words whose ids a Python worker keeps, some 200 bytes each; past it the store starts anew.
-MOST_STORED = 1_000_000
+MOST_STORED = 250_000
 
 Bins = list[list[int]]
 

@@ -109,7 +109,9 @@ class Chunk:
         for k in skipped:
             reached[self.starts[k] : self.ends[k]] = False
         at = np.flatnonzero(reached)
+        del edge, reached
         names = self.rolling.at(at, LEAST)
+        del self.rolling  # its last use; the rest of the work needs the room
         order = np.argsort(names)
         names, at = names[order], at[order]
         starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), names[1:] != names[:-1])))
