@@ -54,13 +54,13 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(most, bitorder="little").view("<u8")[0])
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """XXH64 of every 4-word shingle, repeats included; A-Z are lower-cased, words end at ASCII white space."""
+def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of every shingle of ``size`` words, repeats included; A-Z are lower-cased, words end at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype="<u8")
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
-    runs = zip(*(words[i:] for i in range(SHINGLE_WORDS)), strict=False) if len(words) >= SHINGLE_WORDS else [words]
+    n = max(1, len(words) - size + 1)
+    runs = zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words]
     return np.fromiter(map(xxh64_intdigest, map(b" ".join, runs), itertools.repeat(SEED)), dtype="<u8", count=n)
 
 
