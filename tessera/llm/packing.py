@@ -2,32 +2,37 @@
 
 Documents become pieces of at most ``capacity`` tokens; only longer documents
 are cut. Pieces are dealt to blocks of some ``BLOCK_PIECES``, and several islands
-evolve packings of each block. A packing is a set of bins. Crossover injects
-whole well-filled bins of one parent into the other, removes the bins that hold
-a piece twice, and best-fits the displaced pieces, longest first; mutation
-empties the worst bins and best-fits their pieces. Fewer bins win, then the
-larger sum of squared fills. After each epoch every island's elite migrates to the next island
-of its block. At the end each block keeps its best packing, and bins that are
-filled badly are opened again and packed together across neighbouring blocks.
+evolve packings of each block, from best-fit packings on, until one has as few
+bins as the total length allows or the generations are used up. A packing is a
+set of bins. Crossover injects whole well-filled bins of one parent into the
+other and removes the bins that hold a piece twice; mutation empties the worst
+bins and some others. The displaced pieces are first exchanged for one or two
+pieces of a bin that they fill better, then best-fitted, longest first. Fewer
+bins win, then the larger sum of squared fills. After each epoch every island's
+elite migrates to the next island of its block. At the end each block keeps its
+best packing. Its worst-filled bins are opened again and packed together with
+those of neighbouring blocks, and so on up a tree; a group passes on no more
+than its share of a block, so no group grows with the input.
 
 Only piece lengths travel in the shuffles, and a group never holds more than the
-pieces of one block for all islands. Rows are dealt by row number, so no value of
-any column can fill a block.
+pieces of one block for all islands. Rows are dealt by a row number that is
+written with the pieces, so no value of any column can fill a block and a task
+that runs again deals as before.
 
 Cases: a null text is an empty document: one piece holding the closing id alone.
-Repeated rows are separate documents. Extra columns in ``keep`` pass through. An
-empty table gives an empty result.
+Repeated rows are separate documents. Extra columns in ``keep`` pass through;
+``_row`` is the only name they may not have. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
-import contextlib
 import functools
+import itertools
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,59 +43,109 @@ from tessera.llm._shared import written
 
 CAPACITY = 2048
 END_ID = 0
-BLOCK_PIECES, JOINED_BLOCKS = 1500, 8
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 6, 10
-#: Bins filled less than this are opened and packed again across blocks.
-WELL_FILLED = 0.995
+BLOCK_PIECES, JOINED_BLOCKS = 4000, 8
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 5, 24
+#: Bins filled less than this may be opened and packed again across blocks.
+WELL_FILLED = 0.998
+#: Bins with the most room that an exchange looks at.
+LOOSE_BINS = 60
+#: Bins that a crossover injects at most.
+INJECTED = 30
 #: Characters that end a word for str.split() but not for the tokenizer.
 _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
-#: A full stop or comma that ends a word: the tokenizer parts it from the letters, too.
-_LAST_MARK = re.compile(r"([.,])(?<=[^\W\d_].)(?!\S)")
-#: Words whose ids a Python worker keeps, some 200 bytes each; past it the store starts anew.
+#: The tokenizer's own pre-tokens (fixed values) where all characters are Latin-1 and in lower case.
+_LETTER, _NUMERAL = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SYMBOL = r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMERAL}]|[{_SYMBOL}]+")
+#: Words in each of the two generations of a Python worker's store, some 150 bytes each.
 MOST_STORED = 250_000
+#: Characters of text whose new words are encoded at once.
+BATCH_CHARS = 1 << 20
 
 Bins = list[list[int]]
 
 
-class _WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, of strings free of white space."""
+class WordIds:
+    """Ids, as little-endian 32-bit bytes, of strings free of white space.
 
-    def __init__(self, path: str) -> None:
+    New words are encoded many at a time, as one text. Of a pre-token's ids the
+    last, and no other, ends a word. When the younger generation is full it
+    becomes the older one, and words met again move over, so frequent words stay.
+    """
+
+    def __init__(self, path: str, most: int = MOST_STORED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, words: set[str]) -> None:
+        """Have the ids of all ``words`` in the younger generation."""
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young, new = self.young, {}, words
+        again = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in again)
+        single = []
+        for w in new.difference(again):
+            if _PRE_TOKEN.fullmatch(w):
+                single.append(w)
+            else:
+                self.young[w] = self.encode(w).tobytes()
+        for at in range(0, len(single), 20_000):
+            part = single[at : at + 20_000]
+            ids = self.encode(" ".join(part))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not mark word ends")
+            held, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.young.update(zip(part, (held[a:b] for a, b in itertools.pairwise(bounds)), strict=True))
 
 
 @functools.cache
-def _word_ids(path: str) -> _WordIds:
-    return _WordIds(path)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of a text and END_ID, as little-endian 32-bit bytes.
+def _words(text: str) -> list[str] | None:
+    """Strings whose ids make up the ids of the text; None where the text must be encoded as a whole.
 
     The tokenizer lower-cases, drops white space, and no pre-token of it spans
-    white space, so the ids of the words, which recur, make up the ids of the text.
-    In Latin-1 text, where lower-casing depends on no context and nothing composes,
-    case and a closing mark are taken off first, which leaves far fewer different
-    words and changes no id.
+    white space, so words will do. In Latin-1 text, where lower-casing depends on
+    no context and nothing composes, they are the pre-tokens themselves, of which
+    there are far fewer.
     """
-    words = _word_ids(path)
-    end = END_ID.to_bytes(4, "little")
-    if not text:
-        return end
-    if not _ODD_SPACE.isdisjoint(text):
-        return np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
-    if len(words) > MOST_STORED:
-        words.clear()
-    with contextlib.suppress(UnicodeEncodeError):
+    if "<|" in text:  # the vocabulary's special tokens begin so
+        return None
+    try:
         text.encode("latin-1")
-        text = _LAST_MARK.sub(r" \1", text.lower())
-    return b"".join(map(words.__getitem__, text.split())) + end
+    except UnicodeEncodeError:
+        return text.split() if _ODD_SPACE.isdisjoint(text) else None
+    return _PRE_TOKEN.findall(text.lower())
+
+
+def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """The ids of each text and END_ID, as little-endian 32-bit bytes."""
+    store, end = _word_ids(path), END_ID.to_bytes(4, "little")
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size < BATCH_CHARS and i + 1 < len(texts):
+            continue
+        part = texts[at : i + 1]
+        split = [_words(t) if t else [] for t in part]
+        store.learn(set().union(*(ws for ws in split if ws)))
+        for t, ws in zip(part, split, strict=True):
+            yield (store.encode(t).tobytes() if ws is None else b"".join(map(store.young.__getitem__, ws))) + end
+        at, size = i + 1, 0
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -101,8 +156,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tu
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, t in enumerate(batch.column("_text").to_pylist()):
-                held = token_bytes(t, tokenizer_path)
+            for i, held in enumerate(token_bytes(batch.column("_text").to_pylist(), tokenizer_path)):
                 for k, at in enumerate(range(0, len(held), 4 * capacity)):
                     part = held[at : at + 4 * capacity]
                     row.append(i)
@@ -153,9 +207,51 @@ class Packer:
     def fitness(self, bins: Bins) -> tuple[int, int]:
         return -len(bins), sum(self.fill(b) ** 2 for b in bins)
 
+    def exchange(self, bins: Bins, free: list[int]) -> list[int]:
+        """Put free pieces in place of one or two pieces of a bin where that fills it better; what is free then.
+
+        A bin takes the one or two free pieces that fill it most. Each exchange
+        lengthens the bins and shortens what is free, so this ends.
+        """
+        lengths = self.lengths
+        free = sorted(free, key=lengths.__getitem__)
+        for b in bins:
+            room = self.capacity - self.fill(b)
+            if not room or not free or lengths[free[0]] > room + max(map(lengths.__getitem__, b), default=0) * 2:
+                continue
+            size = [lengths[i] for i in free]
+            best = (0, (), ())
+            for out in ((), *((i,) for i in b), *itertools.combinations(b[:6], 2)):
+                less = sum(lengths[i] for i in out)
+                at = bisect.bisect_right(size, less + room) - 1
+                if at >= 0 and size[at] - less > best[0]:
+                    best = (size[at] - less, out, (at,))
+                low, high = 0, at
+                while low < high and best[0] < room:
+                    both = size[low] + size[high]
+                    if both > less + room:
+                        high -= 1
+                    else:
+                        if both - less > best[0]:
+                            best = (both - less, out, (low, high))
+                        low += 1
+            if best[0]:
+                put = [free[k] for k in best[2]]
+                b[:] = [i for i in b if i not in best[1]] + put
+                free = sorted([i for i in free if i not in put] + list(best[1]), key=lengths.__getitem__)
+        return free
+
+    def settle(self, bins: Bins, displaced: list[int], noise: float = 0.0) -> Bins:
+        """All of ``bins`` and the displaced pieces: exchanged while that helps the bins with some room, then best-fitted."""
+        loose = sorted((b for b in bins if self.fill(b) < self.capacity), key=self.fill)[:LOOSE_BINS]
+        self.rng.shuffle(loose)
+        return self.best_fit(bins, self.longest_first(self.exchange(loose, displaced), noise))
+
     def crossover(self, base: Bins, donor: Bins) -> Bins:
-        good = [b for b in donor if self.fill(b) >= WELL_FILLED * self.capacity and len(b) > 1]
-        injected = self.rng.sample(good, max(1, len(good) // 3)) if good else []
+        """``base`` with some of the well-filled bins of ``donor``, which it lacks, injected whole."""
+        own = {frozenset(b) for b in base}
+        good = [b for b in donor if self.fill(b) >= WELL_FILLED * self.capacity and frozenset(b) not in own]
+        injected = self.rng.sample(good, max(1, min(INJECTED, len(good) // 3))) if good else []
         taken = {i for b in injected for i in b}
         kept, displaced = [], []
         for b in base:
@@ -163,30 +259,33 @@ class Packer:
                 kept.append(list(b))
             else:
                 displaced += [i for i in b if i not in taken]
-        return self.best_fit([*kept, *map(list, injected)], self.longest_first(displaced))
+        return self.settle([*kept, *map(list, injected)], displaced)
 
     def mutate(self, bins: Bins) -> Bins:
         by_fill = sorted(bins, key=self.fill)
-        n = min(len(bins), self.rng.randint(2, 8))
+        n = min(len(bins), self.rng.randint(2, 6))
         opened = by_fill[:n] + self.rng.sample(by_fill[n:], min(len(bins) - n, n))
         chosen = {id(b) for b in opened}
         kept = [list(b) for b in bins if id(b) not in chosen]
-        return self.best_fit(kept, self.longest_first([i for b in opened for i in b], noise=0.2))
+        return self.settle(kept, [i for b in opened for i in b], noise=0.1)
 
     def evolve(self, population: list[Bins], generations: int = GENERATIONS, size: int = POPULATION) -> Bins:
         """The best packing after some generations, beginning with ``population`` and some greedy packings."""
         everything = list(range(len(self.lengths)))
         least = -(-sum(self.lengths) // self.capacity)
-        while len(population) < size and not any(len(b) <= least for b in population[-1:]):
+        population = list(population)
+        while len(population) < size and not any(len(b) <= least for b in population):
             population.append(self.best_fit([], self.longest_first(everything, noise=0.3 * bool(population))))
-        ranked = sorted(((self.fitness(b), k, b) for k, b in enumerate(population)), key=lambda x: x[:2], reverse=True)
+        ranked = sorted(((self.fitness(b), -k, b) for k, b in enumerate(population)), key=lambda x: x[:2], reverse=True)
         for g in range(generations):
-            if -ranked[0][0][0] <= least:  # no packing has fewer bins
+            if -ranked[0][0][0] <= least or len(ranked) < 2:  # no packing has fewer bins
                 break
             a, b = self.rng.sample(ranked, 2)
-            child = self.mutate(self.crossover(max(a, b)[2], min(a, b)[2]) if g % 3 else ranked[0][2])
-            ranked[-1] = (self.fitness(child), len(population) + g, child)
-            ranked.sort(key=lambda x: x[:2], reverse=True)
+            child = self.crossover(max(a, b)[2], min(a, b)[2]) if g % 2 else self.mutate(self.rng.choice(ranked[:2])[2])
+            made = (self.fitness(child), -len(population) - g, child)
+            if made[0] not in {r[0] for r in ranked}:  # an equal one would only crowd out what is different
+                ranked[-1] = max(made, ranked[-1], key=lambda x: x[:2]) if g % 4 else made
+                ranked.sort(key=lambda x: x[:2], reverse=True)
         return ranked[0][2]
 
 
@@ -224,10 +323,9 @@ def _offsets(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to ``pieces``, which have a length of 1 to ``capacity``."""
-    held = written(pieces, "pieces")
-    numbered = held.withColumn("_row", F.monotonically_increasing_id())  # the files and their splits are fixed now
+    held = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     n_blocks = max(1, -(-held.count() // BLOCK_PIECES))
-    rows = numbered.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).alias("_block"))
+    rows = held.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).alias("_block"))
     group = "_block long, _island int, _origin int, _row long, length long, _bin long"
 
     def evolve(key: tuple, table: pa.Table) -> pa.Table:
@@ -251,29 +349,44 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     placed = "_row long, length long, _group long, sequence_id long, offset long"
 
-    def choose(key: tuple, table: pa.Table) -> pa.Table:
-        """The best island's packing; pieces of badly filled bins come out without a sequence."""
-        ids, lengths, found = _populations(table)
-        packer = Packer(lengths, capacity, key[0].as_py())
-        at, bins = _flat(max(found, key=packer.fitness))
-        size = np.array(lengths, dtype=np.int64)[at]
-        fills = np.bincount(bins, weights=size)
-        return pa.table({
-            "_row": ids[at], "length": size, "_group": np.full(len(at), key[0].as_py() // JOINED_BLOCKS), "offset": _offsets(size, bins),
-            "sequence_id": pa.array((key[0].as_py() << 20) + bins, mask=fills[bins] < WELL_FILLED * capacity),
-        }).select(["_row", "length", "_group", "sequence_id", "offset"])
-
-    def again(key: tuple, table: pa.Table) -> pa.Table:
-        ids, lengths = table.column("_row").to_numpy(), table.column("length").to_numpy()
-        order = np.argsort(ids)
-        ids, lengths = ids[order], lengths[order]
-        at, bins = _flat(Packer(lengths.tolist(), capacity, key[0].as_py()).evolve([], 5 * GENERATIONS))
+    def result(ids: np.ndarray, lengths: np.ndarray, packing: Bins, level: int, number: int, last: bool) -> pa.Table:
+        """Places of pieces; those of the worst bins have no sequence, as they are packed again with those of other groups."""
+        at, bins = _flat(packing)
+        size = lengths[at]
+        closed = np.ones(len(packing), dtype=bool)
+        if not last:
+            fills, counts = np.bincount(bins, weights=size), np.bincount(bins)
+            worst = np.argsort(fills, kind="stable")
+            passed = (fills[worst] < WELL_FILLED * capacity) & (np.cumsum(counts[worst]) <= BLOCK_PIECES // JOINED_BLOCKS)
+            closed[worst[passed]] = False
         return pa.table({
-            "_row": ids[at], "length": lengths[at], "_group": np.full(len(at), key[0].as_py()),
-            "sequence_id": (1 << 60) + (key[0].as_py() << 20) + bins, "offset": _offsets(lengths[at], bins),
+            "_row": ids[at], "length": size, "_group": np.full(len(at), number // JOINED_BLOCKS),
+            "sequence_id": pa.array((level << 56) + (number << 16) + bins, mask=~closed[bins]), "offset": _offsets(size, bins),
         })
 
-    chosen = written(state.groupBy("_block").applyInArrow(choose, placed), "packed")
-    rest = chosen.filter("sequence_id is null").groupBy("_group").applyInArrow(again, placed)
-    done = chosen.filter("sequence_id is not null").unionByName(rest).select(F.col("_row").alias("_r"), "sequence_id", "offset")
-    return numbered.join(done, F.col("_row") == F.col("_r")).drop("_row", "_r")
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        """The best island's packing."""
+        ids, lengths, found = _populations(table)
+        best = max(found, key=Packer(lengths, capacity, 0).fitness)
+        return result(ids, np.array(lengths, dtype=np.int64), best, 0, key[0].as_py(), n_blocks == 1)
+
+    def opened(level: int, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+        """Packs the open pieces of a group anew."""
+
+        def again(key: tuple, table: pa.Table) -> pa.Table:
+            ids, lengths = table.column("_row").to_numpy(), table.column("length").to_numpy()
+            order = np.argsort(ids)
+            ids, lengths = ids[order], lengths[order]
+            best = Packer(lengths.tolist(), capacity, key[0].as_py()).evolve([], 2 * GENERATIONS)
+            return result(ids, lengths, best, level, key[0].as_py(), last)
+
+        return again
+
+    levels = [written(state.groupBy("_block").applyInArrow(choose, placed), "packed")]
+    n_groups = n_blocks
+    while n_groups > 1:
+        n_groups = -(-n_groups // JOINED_BLOCKS)
+        rest = levels[-1].filter("sequence_id is null")
+        levels.append(written(rest.groupBy("_group").applyInArrow(opened(len(levels), n_groups == 1), placed), "packed"))
+    done = functools.reduce(DataFrame.unionByName, levels).filter("sequence_id is not null").select(F.col("_row").alias("_r"), "sequence_id", "offset")
+    return held.join(done, F.col("_row") == F.col("_r")).drop("_row", "_r")

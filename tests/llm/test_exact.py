@@ -210,9 +210,52 @@ def brute_pieces(text):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
 
 
-@pytest.mark.parametrize("text", [None, "", "It's  Öl—naïve\u00a0x 12³ don't", "a\x1cb c\x85d", "e\u0301 \u0301x", "<|endoftext|> y<|startoftext|>z", "ΣΑΣ İ ﬁ", "字 漢字。" * 30])
+@pytest.mark.parametrize("text", [None, "", "It's  Öl—naïve\u00a0x 12³ don't", "a\x1cb c\x85d", "e\u0301 \u0301x", "a'S'll'x 'T _b_ ##'d\x7f\x80 \xd7\xb5", "caf\u00c9&&& l'\u00e9t\u00e9 \u00bd\u00b2 \u00aa\x1f\u00ad", "<|endoftext|> y<|startoftext|>z", "ΣΑΣ İ ﬁ", "字 漢字。" * 30])
 def test_word_ids_equal_whole_text_ids(text):
-    assert packing.token_bytes(text, public_tokenizers.path("word_bpe_49k.json")) == brute_pieces(text)
+    assert list(packing.token_bytes([text, "other", text], public_tokenizers.path("word_bpe_49k.json"))) == [brute_pieces(text), brute_pieces("other"), brute_pieces(text)]
+
+
+def test_word_ids_outlive_a_full_store():
+    rng, path = random.Random(6), public_tokenizers.path("word_bpe_49k.json")
+    store = packing.WordIds(path, most=40)
+    for _ in range(30):
+        words = {"".join(rng.choices("abcdé", k=rng.randint(1, 4))) + rng.choice(["", "!", "字"]) for _ in range(30)} | {"the"}
+        store.learn(words)
+        assert all(store.young[w] + bytes(4) == brute_pieces(w) for w in words)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=40))
+def test_latin_texts_have_the_ids_of_the_whole(text):
+    assert next(packing.token_bytes([text], public_tokenizers.path("word_bpe_49k.json"))) == brute_pieces(text)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_beats_best_fit_where_it_is_not_optimal(seed):
+    rng, lengths = random.Random(seed), []
+    for _ in range(40):  # triplets that fill a bin exactly
+        a, b = rng.randint(380, 490), rng.randint(250, 255)
+        lengths += [a, b, 1000 - a - b]
+    packer = packing.Packer(lengths, 1000, seed)
+    greedy = packer.best_fit([], packer.longest_first(list(range(120))))
+    found = packer.evolve([], 100, 10)
+    assert sorted(i for b in found for i in b) == list(range(120)) and max(map(packer.fill, found)) <= 1000
+    assert len(found) <= 41 < len(greedy)
+
+
+def test_blocks_join_their_worst_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 64)
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1100, 1500, 700, 300, 2048, 1])) for i in range(2000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long")).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == rows
+    bins: dict[int, list] = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(held)[:k]) for held in bins.values() for k, (o, _) in enumerate(sorted(held)))
+    assert max(sum(n for _, n in held) for held in bins.values()) <= packing.CAPACITY
+    packer = packing.Packer([n for _, n in rows], packing.CAPACITY, 0)
+    assert len(bins) <= 1.01 * len(packer.best_fit([], packer.longest_first(list(range(2000)))))
 
 
 def test_packing_is_a_partition(spark):
