@@ -8,21 +8,23 @@
    BUCKETS x RANK results come to the driver.
 3. Segments of the benchmark items and sliding windows of the documents are
    folded into that space (scaled by the inverse singular values) and compared
-   by cosine; pairs above ``least_cosine`` that have words in common are candidates.
-   Windows whose weight lies nearly all in words of no item are passed over.
+   by cosine; every pair above ``least_cosine`` is a candidate. A window's vector
+   is the difference of two running sums.
 4. A candidate's surroundings are compared with the whole item by the longest
    common subsequence of words. A document leaks an item if the subsequence
    covers ``least_lcs`` of the item, or, for a paraphrase, ``paraphrase_lcs`` of it
-   and the item's answer, which is its last sentence, is there too.
+   and the item's answer is there too: its last sentence, or of an item of one
+   sentence the last third of its words. Surroundings that hold too few benchmark
+   words for any such subsequence are passed over, which loses nothing.
 
-Documents are never shuffled: candidates are checked where the text is. The item
-segments are broadcast in slices of at most ``SLICE_ITEMS`` items, one pass over
+Documents are never shuffled: candidates are checked where the text is. The
+distinct item texts are broadcast in slices of some ``SLICE_ITEMS``, one pass over
 the documents for each slice.
 
 Cases: null or empty texts and items match nothing. Items shorter than a window
 are compared with shorter windows. Repeated documents are reported once each;
-repeated items under each item id. Equal scores keep the first place in the
-text. An empty table on either side gives an empty result.
+repeated items under each item id, null ids included. Equal scores keep the first
+place in the text. An empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ SLICE_ITEMS = 5000
 BATCH_WORDS = 1 << 16
 ROWS_A_BLOCK = 512
 VOCABULARY_BITS = 20
+#: A candidate's begin is taken as a cell of so many words; its surroundings cover the whole cell.
+ALIGNED = 4
 #: Window lengths; an item is cut into segments of the longest that it fills.
 WINDOWS = (16, 8, 4, 2, 1)
 
@@ -162,11 +166,16 @@ class LatentSpace:
     fold: np.ndarray
     idf: np.ndarray
 
-    def vectors(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-        """Unit vectors of the words from each start to its end, at most ``width`` of them."""
-        at = starts[:, None] + np.arange(width)
-        bucket = np.where(at < ends[:, None], _buckets(hashes[np.minimum(at, len(hashes) - 1)]), BUCKETS)
-        return _unit(self.fold[bucket].sum(axis=1))
+    def running(self, hashes: np.ndarray) -> np.ndarray:
+        """Sums of the words before each place."""
+        out = np.zeros((len(hashes) + 1, self.fold.shape[1]))
+        np.cumsum(self.fold[_buckets(hashes)], axis=0, dtype=np.float64, out=out[1:])
+        return out
+
+    def vectors(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Unit vectors of the words from each start to its end."""
+        sums = self.running(hashes)
+        return _unit(sums[ends] - sums[starts])
 
 
 def fit_latent_space(words: DataFrame, rank: int = RANK, seed: int = 7) -> LatentSpace:
@@ -198,39 +207,41 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def answer_of(text: str) -> str:
-    """The last sentence of an item."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+", text) if words_of(p)]
-    return parts[-1] if parts else ""
+def answer_of(text: str) -> list[bytes]:
+    """The words of an item's last sentence; of a single sentence the last third, three words at least."""
+    parts = [w for w in map(words_of, re.split(r"(?<=[.!?])\s+", text)) if w]
+    if len(parts) == 1:
+        return parts[0][-max(3, -(-len(parts[0]) // 3)) :]
+    return parts[-1] if parts else []
 
 
 @dataclass(frozen=True)
 class Items:
     """Benchmark items as word hashes, their segments in the latent space by window length, and their vocabulary."""
 
-    ids: list[int]
+    texts: list[str]
     words: list[list[int]]
     answers: list[list[int]]
     segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # vectors, item, offset
     vocabulary: np.ndarray  # flags by the low bits of a word's hash
 
 
-def prepare_items(rows: list[tuple[int, str | None]], space: LatentSpace) -> Items:
-    held = [(i, t, word_hashes(words_of(t))) for i, t in rows]
-    held = [(i, t, h) for i, t, h in held if len(h)]
+def prepare_items(texts: list[str], space: LatentSpace) -> Items:
+    held = [(t, word_hashes(words_of(t))) for t in texts]
+    held = [(t, h) for t, h in held if len(h)]
     found: dict[int, tuple[list, list, list]] = {}
     vocabulary = np.zeros(1 << VOCABULARY_BITS, dtype=bool)
-    for k, (_, _, h) in enumerate(held):
+    for k, (_, h) in enumerate(held):
         vocabulary[_low(h)] = True
         width = next(w for w in WINDOWS if w <= len(h))
         starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, (width * 5) // 16)), len(h) - width}))
         vectors, item, offset = found.setdefault(width, ([], [], []))
-        vectors.append(space.vectors(h, starts, starts + width, width))
+        vectors.append(space.vectors(h, starts, starts + width))
         item += [k] * len(starts)
         offset += starts.tolist()
     segments = {w: (np.concatenate(v).astype(np.float32), np.array(i), np.array(o)) for w, (v, i, o) in found.items()}
-    answers = [word_hashes(words_of(answer_of(t))).tolist() for _, t, _ in held]
-    return Items([i for i, _, _ in held], [h.tolist() for _, _, h in held], answers, segments, vocabulary)
+    answers = [word_hashes(answer_of(t)).tolist() for t, _ in held]
+    return Items([t for t, _ in held], [h.tolist() for _, h in held], answers, segments, vocabulary)
 
 
 def _low(hashes: np.ndarray) -> np.ndarray:
@@ -243,15 +254,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Limits:
-    """What counts as a candidate and as a leak.
-
-    ``least_known`` is the share of a window's word weight that benchmark words
-    must have before the window is compared with any segment.
-    """
+    """What counts as a candidate and as a leak."""
 
-    least_known: float = 0.5
     least_cosine: float = 0.6
-    least_common: float = 0.45
     least_lcs: float = 0.8
     paraphrase_lcs: float = 0.55
     least_answer: float = 0.8
@@ -270,40 +275,46 @@ def _windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + width, np.repeat(b, steps))
 
 
-def leaks_among(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> list[tuple[int, int, float, float, float, int]]:
-    """(text, item, cosine, lcs share, answer share, first word) of each leak in the joined texts."""
-    best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
-    weight = space.idf[_buckets(hashes)]
-    running = np.concatenate((np.zeros(1), np.cumsum(weight)))
-    known = np.concatenate((np.zeros(1), np.cumsum(weight * items.vocabulary[_low(hashes)])))
+def candidates(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> np.ndarray:
+    """Distinct rows (text, item, cell, cosine in millionths): the item may begin in the cell of ALIGNED words of the text."""
+    sums, found = space.running(hashes), []
     for width, (vectors, item, offset) in items.segments.items():
         starts, ends = _windows(bounds, width)
-        near = known[ends] - known[starts] >= limits.least_known * (running[ends] - running[starts])
-        starts, ends = starts[near], ends[near]
         text = np.searchsorted(bounds, starts, side="right") - 1
-        for at in range(0, len(starts), 4096):
-            s, e = starts[at : at + 4096], ends[at : at + 4096]
-            cosine = space.vectors(hashes, s, e, width) @ vectors.T
-            for w, g in zip(*np.nonzero(cosine >= limits.least_cosine), strict=True):
-                k, doc = int(item[g]), int(text[at + w])
-                words = items.words[k]
-                segment = set(words[offset[g] : offset[g] + width])
-                if len(segment.intersection(hashes[s[w] : e[w]].tolist())) < limits.least_common * len(segment):
-                    continue
-                begin = int(s[w]) - int(offset[g])
-                if (doc, k, begin // 4) in tried:
-                    continue
-                tried.add((doc, k, begin // 4))
-                slack = 4 + len(words) // 4
-                a, b = max(int(bounds[doc]), begin - slack), min(int(bounds[doc + 1]), begin + len(words) + slack)
-                region = hashes[a:b].tolist()
-                share = lcs_length(words, region) / len(words)
-                answer = lcs_length(items.answers[k], region) / max(1, len(items.answers[k]))
-                if share >= limits.least_lcs or (share >= limits.paraphrase_lcs and answer >= limits.least_answer):
-                    now = (share, float(cosine[w, g]), answer, -a)
-                    if now > best.get((doc, k), (-1.0, 0.0, 0.0, 0)):
-                        best[doc, k] = now
+        for at in range(0, len(starts), 512):
+            s, e = starts[at : at + 512], ends[at : at + 512]
+            cosine = _unit(sums[e] - sums[s]).astype(np.float32) @ vectors.T
+            near = np.flatnonzero((cosine >= limits.least_cosine).ravel())
+            w, g = np.divmod(near, len(vectors))
+            of = text[at + w]
+            cell = (s[w] - offset[g] - bounds[of]) // ALIGNED
+            found.append(np.stack((of, item[g], cell, (cosine.ravel()[near] * 1e6).astype(np.int64)), axis=1))
+    rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    rows = rows[np.lexsort((-rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate((np.ones(min(1, len(rows)), bool), (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))]
+
+
+def leaks_among(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> list[tuple[int, int, float, float, float, int]]:
+    """(text, item, cosine, lcs share, answer share, first word) of each leak in the joined texts."""
+    rows = candidates(hashes, bounds, items, space, limits)
+    sizes = np.array([len(w) for w in items.words], dtype=np.int64)
+    size = sizes[rows[:, 1]] if len(rows) else np.zeros(0, np.int64)
+    begin, slack = bounds[rows[:, 0]] + ALIGNED * rows[:, 2], 4 + size // 4
+    first = np.maximum(bounds[rows[:, 0]], begin - slack)
+    last = np.minimum(bounds[rows[:, 0] + 1], begin + ALIGNED + size + slack)
+    known = np.concatenate((np.zeros(1, np.int64), np.cumsum(items.vocabulary[_low(hashes)])))
+    enough = (last > first) & (known[np.maximum(first, last)] - known[first] >= min(limits.paraphrase_lcs, limits.least_lcs) * size)
+    best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+    for (doc, k, _, cosine), a, b in zip(rows[enough].tolist(), first[enough].tolist(), last[enough].tolist(), strict=True):
+        words, region = items.words[k], hashes[a:b].tolist()
+        if len(set(words).intersection(region)) < (min(limits.paraphrase_lcs, limits.least_lcs) * len(words) - len(words) + len(set(words))):
+            continue  # even with every repeated word the subsequence would be too short
+        share = lcs_length(words, region) / len(words)
+        answer = lcs_length(items.answers[k], region) / max(1, len(items.answers[k]))
+        if share >= limits.least_lcs or (share >= limits.paraphrase_lcs and answer >= limits.least_answer):
+            now = (share, cosine / 1e6, answer, -a)
+            if now > best.get((doc, k), (-1.0, 0.0, 0.0, 0)):
+                best[doc, k] = now
     return [(doc, k, c, share, answer, -a - int(bounds[doc])) for (doc, k), (share, c, answer, a) in sorted(best.items())]
 
 
@@ -316,14 +327,15 @@ def find_leaks(
     space = space or fit_latent_space(source)
     spark = docs.sparkSession
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema += ", item_id long, cosine double, lcs_share double, answer_share double, first_word long"
-    names = [*keep, "item_id", "cosine", "lcs_share", "answer_share", "first_word"]
-    wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_item")).dropna()
-    n_slices = max(1, -(-wanted.count() // SLICE_ITEMS))
+    schema += ", _item string, cosine double, lcs_share double, answer_share double, first_word long"
+    names = [*keep, "_item", "cosine", "lcs_share", "answer_share", "first_word"]
+    wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_item")).dropna(subset=["_item"])
+    distinct = wanted.select("_item").distinct()
+    n_slices = max(1, -(-distinct.count() // SLICE_ITEMS))
     found = None
     for k in range(n_slices):
-        part = wanted.filter(F.pmod(F.xxhash64("item_id", "_item"), F.lit(n_slices)) == k)
-        held = spark.sparkContext.broadcast((space, prepare_items([tuple(r) for r in part.orderBy("item_id", "_item").collect()], space)))
+        part = distinct.filter(F.pmod(F.xxhash64("_item"), F.lit(n_slices)) == k)  # some SLICE_ITEMS rows
+        held = spark.sparkContext.broadcast((space, prepare_items(sorted(r[0] for r in part.collect()), space)))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             space, prepared = held.value
@@ -332,13 +344,16 @@ def find_leaks(
                 for hashes, bounds in _joined(batch.column("_words").to_pylist()):
                     for doc, item, *values in leaks_among(hashes, bounds, prepared, space, limits):
                         row.append(first + doc)
-                        rest.append((prepared.ids[item], *values))
+                        rest.append((prepared.texts[item], *values))
                     first += len(bounds) - 1
                 columns = [batch.column(i).take(pa.array(row, pa.int64())) for i in range(batch.num_columns - 1)]
-                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 columns += [pa.array([r[i] for r in rest], t) for i, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         leaked = source.mapInArrow(search, schema)
+        if n_slices > 1:  # one slice's broadcast at a time
+            leaked = written(leaked, "leaks")
+            held.unpersist()
         found = leaked if found is None else found.unionByName(leaked)
-    return found
+    return found.join(wanted, "_item").select(*keep, "item_id", *names[-4:])

@@ -95,13 +95,46 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert decontamination.find_leaks(frame, none).count() == 0 and decontamination.find_leaks(frame.limit(0), none).count() == 0
 
 
+def test_latent_search_finds_what_all_alignments_find(spark):
+    rng = random.Random(11)
+    items = [" ".join(rng.choices([f"i{k}w{j}" for j in range(30)] + ["the", "of"], k=n)) + "." for k, n in enumerate([9, 16, 17, 25, 40, 60])]
+    items.append(items[3][:-1] + "! Then " + items[2])
+    texts = []
+    for d in range(240):
+        words = [f"c{rng.randrange(400)}" for _ in range(rng.randint(0, 120))]
+        if d % 2:  # a paraphrase: up to half of the words are replaced, some are added
+            k = d // 2 % len(items)
+            said = [w if rng.random() > (d % 11) / 20 else "changed" for w in items[k].split()]
+            said = [x for w in said for x in ([w, "added"] if rng.random() < 0.05 else [w])]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = said
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOC)
+    rows = [(k, t) for k, t in enumerate(items)] + [(None, items[1]), (9, items[0])]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    limits, want = decontamination.Limits(), set()
+    for d, t in enumerate(texts):
+        words = decontamination.word_hashes(decontamination.words_of(t)).tolist()
+        for k, item in rows:
+            own = decontamination.word_hashes(decontamination.words_of(item)).tolist()
+            answer = decontamination.word_hashes(decontamination.answer_of(item)).tolist()
+            slack = 4 + len(own) // 4
+            for begin in range(-len(own) - slack, len(words), 4):
+                region = words[max(0, begin - slack) : max(0, begin + 4 + len(own) + slack)]
+                share = decontamination.lcs_length(own, region) / len(own)
+                if share >= limits.least_lcs or share >= limits.paraphrase_lcs and decontamination.lcs_length(answer, region) >= limits.least_answer * len(answer):
+                    want.add((d, k))
+                    break
+    assert got <= want and len(want) > 60 and len(got) >= 0.95 * len(want)
+
+
 def test_latent_space_matches_exact_svd(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices([f"w{g}{i}" for i in range(5)], k=16)) for g in range(6) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOC)
     space = decontamination.fit_latent_space(decontamination.tokenised(docs, "text", ("doc_id",)), rank=6)
     held = [decontamination.word_hashes(decontamination.words_of(t)) for t in texts]
-    v = np.concatenate([space.vectors(h, np.array([0]), np.array([len(h)]), 16) for h in held])
+    v = np.concatenate([space.vectors(h, np.array([0]), np.array([len(h)])) for h in held])
     near = v @ v.T
     same = np.array([[a // 40 == b // 40 for b in range(len(texts))] for a in range(len(texts))])
     assert near[same].mean() > 0.6 > 0.2 > np.abs(near[~same]).mean()
