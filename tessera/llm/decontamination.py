@@ -47,10 +47,9 @@ BUCKETS, RANK, PASSAGE = 8192, 32, 16
 SLICE_ITEMS = 5000
 BATCH_WORDS = 1 << 16
 ROWS_A_BLOCK = 512
-VOCABULARY_BITS = 20
 #: A candidate's begin is taken as a cell of so many words; its surroundings cover the whole cell.
 ALIGNED = 4
-#: Window lengths; an item is cut into segments of the longest that it fills.
+#: Window lengths, each begun every half of it; an item is cut into segments of the longest that any copy of the item holds whole.
 WINDOWS = (16, 8, 4, 2, 1)
 
 
@@ -166,17 +165,38 @@ class LatentSpace:
     fold: np.ndarray
     idf: np.ndarray
 
-    def running(self, hashes: np.ndarray) -> np.ndarray:
-        """Sums of the words before each place."""
-        out = np.zeros((len(hashes) + 1, self.fold.shape[1]))
-        np.cumsum(self.fold[_buckets(hashes)], axis=0, dtype=np.float64, out=out[1:])
-        return out
-
     def vectors(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Unit vectors of the words from each start to its end."""
-        sums = self.running(hashes)
+        sums = np.zeros((len(hashes) + 1, self.fold.shape[1]))
+        np.cumsum(self.fold[_buckets(hashes)], axis=0, dtype=np.float64, out=sums[1:])
         return _unit(sums[ends] - sums[starts])
 
+    def windows(self, hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sliding windows of each text: text, first word within it, unit vector.
+
+        Windows begin every ``step`` words and share the sums of as many words; the
+        last one of a text ends with it.
+        """
+        step = max(1, width // 2)
+        sizes = np.diff(bounds)
+        blocks = -(-sizes // step)
+        before = np.cumsum(blocks) - blocks
+        padded = np.full(int(blocks.sum()) * step, BUCKETS, dtype=np.int32)
+        padded[np.arange(len(hashes)) + np.repeat(before * step - bounds[:-1], sizes)] = _buckets(hashes)
+        sums = self.fold[padded[::step]]
+        for k in range(1, step):
+            sums += self.fold[padded[k::step]]
+        some = np.flatnonzero(blocks)
+        count = np.maximum(0, blocks[some] - width // step) + 1
+        text = np.repeat(some, count)
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at, end = before[text] + place, before[text] + blocks[text]
+        sums = np.vstack((sums, np.zeros((1, sums.shape[1]), np.float32)))
+        total = sums[at]
+        for k in range(1, width // step):
+            total += sums[np.where(at + k < end, at + k, len(sums) - 1)]
+        return text, place * step, _unit(total)
+
 
 def fit_latent_space(words: DataFrame, rank: int = RANK, seed: int = 7) -> LatentSpace:
     """Randomised SVD of the passages of all documents, whose word hashes are in ``_words``."""
@@ -192,17 +212,21 @@ def fit_latent_space(words: DataFrame, rank: int = RANK, seed: int = 7) -> Laten
     return LatentSpace(np.vstack((fold, np.zeros((1, rank)))).astype(np.float32), np.append(idf, 0.0))
 
 
-def lcs_length(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel dynamic programming."""
-    if not a or not b:
-        return 0
+def places_of(words: list[int]) -> dict[int, int]:
+    """Each word's places as the bits of a number."""
     places: dict[int, int] = {}
-    for i, x in enumerate(a):
+    for i, x in enumerate(words):
         places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def lcs_length(a: list[int], b: list[int], places: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit-parallel dynamic programming."""
+    places = places or places_of(a)
     full = (1 << len(a)) - 1
     row = full
-    for x in b:
-        u = row & places.get(x, 0)
+    for at in filter(None, map(places.get, b)):
+        u = row & at
         row = (row + u | row - u) & full
     return len(a) - row.bit_count()
 
@@ -221,31 +245,40 @@ class Items:
 
     texts: list[str]
     words: list[list[int]]
+    places: list[dict[int, int]]
     answers: list[list[int]]
     segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # vectors, item, offset
-    vocabulary: np.ndarray  # flags by the low bits of a word's hash
+    vocabulary: np.ndarray  # the distinct words
+    held_by: np.ndarray  # items that hold each word of the vocabulary, word by word
+    bounds: np.ndarray  # where each word's items begin in ``held_by``
+
+    def hits(self, hashes: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How many words from ``first`` to ``last`` each item holds."""
+        word = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[word] == hashes) if len(self.vocabulary) else word[:0]
+        word = word[at]
+        count = self.bounds[word + 1] - self.bounds[word]
+        entry = np.arange(int(count.sum())) + np.repeat(self.bounds[word] - (np.cumsum(count) - count), count)
+        key = np.sort(self.held_by[entry] * len(hashes) + np.repeat(at, count))
+        return np.searchsorted(key, item * len(hashes) + last) - np.searchsorted(key, item * len(hashes) + first)
 
 
 def prepare_items(texts: list[str], space: LatentSpace) -> Items:
     held = [(t, word_hashes(words_of(t))) for t in texts]
     held = [(t, h) for t, h in held if len(h)]
     found: dict[int, tuple[list, list, list]] = {}
-    vocabulary = np.zeros(1 << VOCABULARY_BITS, dtype=bool)
     for k, (_, h) in enumerate(held):
-        vocabulary[_low(h)] = True
-        width = next(w for w in WINDOWS if w <= len(h))
-        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, (width * 5) // 16)), len(h) - width}))
+        width = next(w for w in WINDOWS if w + w // 2 - 1 <= len(h))
+        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, width // 8)), len(h) - width}))
         vectors, item, offset = found.setdefault(width, ([], [], []))
         vectors.append(space.vectors(h, starts, starts + width))
         item += [k] * len(starts)
         offset += starts.tolist()
     segments = {w: (np.concatenate(v).astype(np.float32), np.array(i), np.array(o)) for w, (v, i, o) in found.items()}
     answers = [word_hashes(answer_of(t)).tolist() for t, _ in held]
-    return Items([t for t, _ in held], [h.tolist() for _, h in held], answers, segments, vocabulary)
-
-
-def _low(hashes: np.ndarray) -> np.ndarray:
-    return hashes & np.uint32((1 << VOCABULARY_BITS) - 1)
+    pairs = np.array(sorted({(w, k) for k, (_, h) in enumerate(held) for w in h.tolist()}), dtype=np.int64).reshape(-1, 2)
+    vocabulary, starts = np.unique(pairs[:, 0], return_index=True)
+    return Items([t for t, _ in held], [h.tolist() for _, h in held], [places_of(h.tolist()) for _, h in held], answers, segments, vocabulary.astype(np.uint32), pairs[:, 1], np.append(starts, len(pairs)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -256,63 +289,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Limits:
     """What counts as a candidate and as a leak."""
 
-    least_cosine: float = 0.6
+    least_cosine: float = 0.65
     least_lcs: float = 0.8
     paraphrase_lcs: float = 0.55
     least_answer: float = 0.8
 
 
-def _windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of windows within each text; the last one ends with the text."""
-    step = max(1, width // 4)
-    a, b = bounds[:-1], bounds[1:]
-    some = b > a
-    a, b = a[some], b[some]
-    steps = np.maximum(0, -(-(b - a - width) // step)) + 1
-    first = np.cumsum(steps) - steps
-    number = np.arange(int(steps.sum())) - np.repeat(first, steps)
-    starts = np.minimum(np.repeat(a, steps) + number * step, np.repeat(np.maximum(a, b - width), steps))
-    return starts, np.minimum(starts + width, np.repeat(b, steps))
-
-
-def candidates(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> np.ndarray:
-    """Distinct rows (text, item, cell, cosine in millionths): the item may begin in the cell of ALIGNED words of the text."""
-    sums, found = space.running(hashes), []
+def candidates(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> tuple[np.ndarray, ...]:
+    """Text, item, cell and highest cosine of every candidate: the item may begin in that cell of ALIGNED words of the text."""
+    found: list[tuple[np.ndarray, ...]] = []
+    cells = int(np.diff(bounds).max(initial=0)) // ALIGNED + max(map(len, items.words), default=0)  # more than any text has, either way
     for width, (vectors, item, offset) in items.segments.items():
-        starts, ends = _windows(bounds, width)
-        text = np.searchsorted(bounds, starts, side="right") - 1
-        for at in range(0, len(starts), 512):
-            s, e = starts[at : at + 512], ends[at : at + 512]
-            cosine = _unit(sums[e] - sums[s]).astype(np.float32) @ vectors.T
-            near = np.flatnonzero((cosine >= limits.least_cosine).ravel())
+        text, first, unit = space.windows(hashes, bounds, width)
+        for at in range(0, len(text), 256):
+            cosine = (unit[at : at + 256] @ vectors.T).ravel()
+            near = np.flatnonzero(cosine >= limits.least_cosine)
             w, g = np.divmod(near, len(vectors))
-            of = text[at + w]
-            cell = (s[w] - offset[g] - bounds[of]) // ALIGNED
-            found.append(np.stack((of, item[g], cell, (cosine.ravel()[near] * 1e6).astype(np.int64)), axis=1))
-    rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-    rows = rows[np.lexsort((-rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    return rows[np.concatenate((np.ones(min(1, len(rows)), bool), (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))]
+            w += at
+            found.append(((text[w] * len(items.words) + item[g]) * (2 * cells) + (first[w] - offset[g]) // ALIGNED + cells, cosine[near]))
+    key, cosine = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+    order = np.argsort(key)
+    key, cosine = key[order], cosine[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    key, cosine = key[starts], np.maximum.reduceat(cosine, starts) if len(starts) else cosine
+    pair, cell = np.divmod(key, 2 * cells)
+    return *np.divmod(pair, max(1, len(items.words))), cell - cells, cosine
 
 
 def leaks_among(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: LatentSpace, limits: Limits) -> list[tuple[int, int, float, float, float, int]]:
     """(text, item, cosine, lcs share, answer share, first word) of each leak in the joined texts."""
-    rows = candidates(hashes, bounds, items, space, limits)
-    sizes = np.array([len(w) for w in items.words], dtype=np.int64)
-    size = sizes[rows[:, 1]] if len(rows) else np.zeros(0, np.int64)
-    begin, slack = bounds[rows[:, 0]] + ALIGNED * rows[:, 2], 4 + size // 4
-    first = np.maximum(bounds[rows[:, 0]], begin - slack)
-    last = np.minimum(bounds[rows[:, 0] + 1], begin + ALIGNED + size + slack)
-    known = np.concatenate((np.zeros(1, np.int64), np.cumsum(items.vocabulary[_low(hashes)])))
-    enough = (last > first) & (known[np.maximum(first, last)] - known[first] >= min(limits.paraphrase_lcs, limits.least_lcs) * size)
+    text, item, cell, cosine = candidates(hashes, bounds, items, space, limits)
+    size = np.array([len(w) for w in items.words], dtype=np.int64)[item] if len(item) else item
+    begin, slack = bounds[text] + ALIGNED * cell, 4 + size // 4
+    first = np.maximum(bounds[text], begin - slack)
+    last = np.maximum(first, np.minimum(bounds[text + 1], begin + ALIGNED + size + slack))
+    # No subsequence is longer than the number of the item's words in the surroundings.
+    least = limits.paraphrase_lcs * size
+    enough = np.flatnonzero(items.hits(hashes, item, first, last) >= least)
     best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    for (doc, k, _, cosine), a, b in zip(rows[enough].tolist(), first[enough].tolist(), last[enough].tolist(), strict=True):
+    for doc, k, cos, a, b in zip(*(x[enough].tolist() for x in (text, item, cosine, first, last)), strict=True):
         words, region = items.words[k], hashes[a:b].tolist()
-        if len(set(words).intersection(region)) < (min(limits.paraphrase_lcs, limits.least_lcs) * len(words) - len(words) + len(set(words))):
-            continue  # even with every repeated word the subsequence would be too short
-        share = lcs_length(words, region) / len(words)
+        share = lcs_length(words, region, items.places[k]) / len(words)
+        if share < limits.paraphrase_lcs:
+            continue
         answer = lcs_length(items.answers[k], region) / max(1, len(items.answers[k]))
         if share >= limits.least_lcs or (share >= limits.paraphrase_lcs and answer >= limits.least_answer):
-            now = (share, cosine / 1e6, answer, -a)
+            now = (share, cos, answer, -a)
             if now > best.get((doc, k), (-1.0, 0.0, 0.0, 0)):
                 best[doc, k] = now
     return [(doc, k, c, share, answer, -a - int(bounds[doc])) for (doc, k), (share, c, answer, a) in sorted(best.items())]
