@@ -259,7 +259,8 @@ class Items:
         word = word[at]
         count = self.bounds[word + 1] - self.bounds[word]
         entry = np.arange(int(count.sum())) + np.repeat(self.bounds[word] - (np.cumsum(count) - count), count)
-        key = np.sort(self.held_by[entry] * len(hashes) + np.repeat(at, count))
+        order = np.argsort(self.held_by[entry].astype(np.uint16), kind="stable")  # SLICE_ITEMS fit; places are in order already
+        key = self.held_by[entry[order]] * len(hashes) + np.repeat(at, count)[order]
         return np.searchsorted(key, item * len(hashes) + last) - np.searchsorted(key, item * len(hashes) + first)
 
 
@@ -269,7 +270,7 @@ def prepare_items(texts: list[str], space: LatentSpace) -> Items:
     found: dict[int, tuple[list, list, list]] = {}
     for k, (_, h) in enumerate(held):
         width = next(w for w in WINDOWS if w + w // 2 - 1 <= len(h))
-        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, width // 8)), len(h) - width}))
+        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, width // 4)), len(h) - width}))
         vectors, item, offset = found.setdefault(width, ([], [], []))
         vectors.append(space.vectors(h, starts, starts + width))
         item += [k] * len(starts)
@@ -281,6 +282,14 @@ def prepare_items(texts: list[str], space: LatentSpace) -> Items:
     return Items([t for t, _ in held], [h.tolist() for _, h in held], [places_of(h.tolist()) for _, h in held], answers, segments, vocabulary.astype(np.uint32), pairs[:, 1], np.append(starts, len(pairs)))
 
 
+def _places(flags: np.ndarray) -> np.ndarray:
+    """Where the few set flags are; eight are looked at together."""
+    n = len(flags) // 8 * 8
+    some = np.flatnonzero(flags[:n].view(np.uint64))
+    row, column = np.nonzero(flags[:n].reshape(-1, 8)[some])
+    return np.concatenate((some[row] * 8 + column, n + np.flatnonzero(flags[n:])))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
@@ -303,7 +312,7 @@ def candidates(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: Late
         text, first, unit = space.windows(hashes, bounds, width)
         for at in range(0, len(text), 256):
             cosine = (unit[at : at + 256] @ vectors.T).ravel()
-            near = np.flatnonzero(cosine >= limits.least_cosine)
+            near = _places(cosine >= limits.least_cosine)
             w, g = np.divmod(near, len(vectors))
             w += at
             found.append(((text[w] * len(items.words) + item[g]) * (2 * cells) + (first[w] - offset[g]) // ALIGNED + cells, cosine[near]))
@@ -353,7 +362,7 @@ def find_leaks(
     names = [*keep, "_item", "cosine", "lcs_share", "answer_share", "first_word"]
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_item")).dropna(subset=["_item"])
     distinct = wanted.select("_item").distinct()
-    n_slices = max(1, -(-distinct.count() // SLICE_ITEMS))
+    n_slices = max(1, -(-distinct.count() // SLICE_ITEMS))  # hashing deals them evenly, far from the 65536 that Items.hits can tell apart
     found = None
     for k in range(n_slices):
         part = distinct.filter(F.pmod(F.xxhash64("_item"), F.lit(n_slices)) == k)  # some SLICE_ITEMS rows
