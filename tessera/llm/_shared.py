@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    ``spark.checkpoint.dir`` is read from the session. Where it is unset, as in
-    local tests, a temporary folder is made once for the application.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local
+    session gets a temporary folder, once; on a cluster that is an error, since
+    executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"

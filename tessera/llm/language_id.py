@@ -8,9 +8,10 @@ cosine is under the language's own low quantile, less a margin, is marked as
 rejected: it lies farther off than nearly all texts that the language was
 learned from.
 
-Fitting reads at most about ``per_language`` texts of each language (a hash of
-the text picks them, so the pick is the same wherever rows lie). Prediction
-reads every character of every text.
+Document frequencies are counted over all labelled texts; the centroids come from
+about ``per_language`` different texts of each language (a hash of the text picks
+them, so the pick is the same wherever rows lie, and copies count once).
+Prediction reads every character of every text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected. With nothing to learn from, every text is ``und``. Rows with a null
@@ -128,15 +129,17 @@ def fit_languages(
 ) -> LanguageModel:
     """Learn from the rows with text and language.
 
-    ``per_language`` bounds the sample that each language's centroids come from;
-    it is the only bound. The model that comes to the driver has ``clusters``
+    ``per_language`` bounds the sample of different texts that each language's
+    centroids come from; it is the only bound. The model that comes to the driver has ``clusters``
     rows a language.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    sizes = rows.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("count")).alias("_share"))
-    picked = rows.join(F.broadcast(sizes), F.col("lang") == F.col("_lang"))  # one row a language
-    picked = picked.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select("text", "lang")
+    hashed = rows.withColumn("_hash", F.xxhash64("text"))
+    sizes = hashed.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(per_language)) / F.approx_count_distinct("_hash", 0.02)).alias("_share"))
+    picked = hashed.join(F.broadcast(sizes), F.col("lang") == F.col("_lang"))  # one row a language
+    picked = picked.filter(F.pmod(F.xxhash64("_hash"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+    picked = picked.groupBy("lang", "_hash").agg(F.min("text").alias("text"))  # copies meet before the shuffle
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, dtype=np.int64), 0
@@ -149,7 +152,7 @@ def fit_languages(
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(used, -1), "df": np.append(df[used], n)})
 
-    counted = picked.mapInArrow(document_frequency, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
+    counted = rows.select("text").mapInArrow(document_frequency, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(BUCKETS)
     total = 0
     for bucket, count in counted:  # BUCKETS + 1 rows at most

@@ -278,11 +278,12 @@ def removed_bytes(n: int, hit: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with its other columns, and as new columns
 
     ``_kept`` (binary, the bytes left), ``_n_bytes``, ``_spans`` (array of
-    (start, length) of the removed runs).
+    (start, length) of the removed runs), and if asked for ``_text``, the bytes
+    left as a string without the parts of characters that were cut in two.
     """
     chunks = chunked(docs, text, doc_id)
     n_chunks = max(1, chunks.select("chunk").count())
@@ -347,6 +348,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     extra = [T.StructField("_kept", T.BinaryType()), T.StructField("_n_bytes", T.LongType())]
     extra.append(T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))))
 
+    if with_text:
+        extra.append(T.StructField("_text", T.StringType()))
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_in = ("chunk", "ranks", "copies", "earlier", "rest", *_CHUNK[1:])
         for batch in batches:
@@ -374,7 +378,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                     pa.array(kept, pa.binary()), pa.array(chunk.ends - chunk.starts),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), "_kept", "_n_bytes", "_spans"])
+                if with_text:
+                    columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *(f.name for f in extra)])
 
     told = _answered(chunks, ("ranks", shared), ("copies", copied), ("earlier", earlier)).select(*_CHUNK, "rest", "ranks", "copies", "earlier")
     return told.mapInArrow(finish, T.StructType(fields + extra))

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +39,30 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return Rolling(codes).everywhere(min(k, len(codes))) if len(codes) else np.zeros(0, dtype=np.uint64)
 
 
-def winnow(text: str | None, k: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen hashes (38 bits) and their positions, in order of position."""
+def winnow(text: str | None, k: int = GRAM, window: int = WINDOW, stretch: int = _PLACES) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen hashes (38 bits) and their positions, in order of position.
+
+    The grams are worked through in stretches of ``stretch`` that overlap by a
+    window less one, so a text may have any length.
+    """
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
     h = gram_hashes(codes, k)
     n = len(h)
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    if n > _PLACES:
-        raise ValueError(f"a text of over {_PLACES} characters")
+    width = min(window, n)
+    step = max(1, stretch - width + 1)
+    parts = [_minima(h[at : at + step + width - 1], width, at) for at in range(0, n - width + 1, step)]
+    hashes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.concatenate(([True], places[1:] != places[:-1]))
+    return hashes[new], places[new]
+
+
+def _minima(h: np.ndarray, width: int, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rightmost least hash of every window, once each, and its position."""
+    n = len(h)
     keys = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.uint64(_PLACES) - np.arange(n, dtype=np.uint64)
     span, low = 1, keys
-    width = min(window, n)
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
@@ -57,7 +70,7 @@ def winnow(text: str | None, k: int = GRAM, window: int = WINDOW) -> tuple[np.nd
         low = np.minimum(low[: n - width + 1], low[width - span :])
     chosen = low[np.concatenate(([True], low[1:] != low[:-1]))]
     place = np.int64(_PLACES) - (chosen & np.uint64(_PLACES)).astype(np.int64)
-    return chosen >> np.uint64(PLACE_BITS), place
+    return chosen >> np.uint64(PLACE_BITS), place + offset
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -123,15 +136,16 @@ def compare_with_edits(docs: DataFrame, k: int = GRAM, window: int = WINDOW) ->
     """Fingerprints of every document (doc_id, text) and of its edited text.
 
     The edited text has its last half replaced by the beginning of the next
-    document in descending doc_id (null ids last, ties by text; after the last
-    document comes the first). Documents are ranged by doc_id, once, and each
-    range is walked in order. The first and the last document of each range are
-    also written as they are, and these few rows close the gaps between ranges.
+    document in descending doc_id (null ids last, ties by a hash of the text, then
+    by the text; after the last document comes the first). Documents are ranged
+    once, by id and hash, and each range is walked in order. The first and the last
+    document of each range are also written as they are, and these few rows close
+    the gaps between ranges; only range numbers are put in one order.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    ranged = ordered.repartitionByRange(F.col("doc_id").desc_nulls_last(), F.col("text")).sortWithinPartitions(
-        F.col("doc_id").desc_nulls_last(), F.col("text")
-    )
+    ordered = ordered.withColumn("_hash", F.xxhash64("text"))
+    by = (F.col("doc_id").desc_nulls_last(), F.col("_hash"))  # no text: a sample of these comes to the driver
+    ranged = ordered.repartitionByRange(*by).sortWithinPartitions(*by, F.col("text")).select("doc_id", "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Result rows, and as edge rows the first (edge 1), the last (edge 2) or the only (edge 3) document."""
@@ -148,20 +162,20 @@ def compare_with_edits(docs: DataFrame, k: int = GRAM, window: int = WINDOW) ->
             if out:
                 yield _as_batch(out)
         if last is not None:
-            ends = [{"doc_id": first.doc_id, "text": first.text, "edge": 3 if first is last else 1}]
+            part = TaskContext.get().partitionId()
+            ends = [{"doc_id": first.doc_id, "text": first.text, "part": part, "edge": 3 if first is last else 1}]
             if first is not last:
-                ends.append({"doc_id": last.doc_id, "text": last.text, "edge": 2})
+                ends.append({"doc_id": last.doc_id, "text": last.text, "part": part, "edge": 2})
             yield _as_batch(ends)
 
-    done = written(ranged.mapInArrow(walk, f"{_RESULT}, edge int, text string"), "winnowed")
+    done = written(ranged.mapInArrow(walk, f"{_RESULT}, edge int, part int, text string"), "winnowed")
     names = [x.split()[0] for x in _RESULT.split(", ")]
-    # Two rows a range: the numbering needs their ids and texts' order only.
-    edges = done.filter("edge > 0").select("doc_id", "text", "edge")
-    starts, ends = edges.filter("edge in (1, 3)"), edges.filter("edge in (2, 3)")
-    order = Window.orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    starts = starts.select(F.row_number().over(order).alias("_at"), F.col("text").alias("_next"))
-    numbered = ends.select("doc_id", "text", F.row_number().over(order).alias("_end"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_all"))
-    joined = numbered.join(starts, F.col("_at") == F.when(F.col("_end") < F.col("_all"), F.col("_end") + 1).otherwise(1))
+    # Two rows a range at most. Range numbers alone are ordered, then the texts are looked up.
+    starts = done.filter("edge in (1, 3)").select(F.col("part").alias("_at"), F.col("text").alias("_next"))
+    ends = done.filter("edge in (2, 3)").select("part", "doc_id", "text")
+    turn = done.filter("edge in (1, 3)").select("part", F.lead("part").over(Window.orderBy("part")).alias("_lead"), F.min("part").over(Window.partitionBy()).alias("_first"))
+    turn = turn.select("part", F.coalesce("_lead", "_first").alias("_at"))
+    joined = ends.join(turn, "part").join(starts, "_at")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,5 +190,5 @@ def compare_with_edits(docs: DataFrame, k: int = GRAM, window: int = WINDOW) ->
 
 def _as_batch(rows: list[dict], edges: bool = True) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
-    fields = [x.split() for x in (_RESULT + (", edge int, text string" if edges else "")).split(", ")]
+    fields = [x.split() for x in (_RESULT + (", edge int, part int, text string" if edges else "")).split(", ")]
     return pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], kinds[t]) for n, t in fields})

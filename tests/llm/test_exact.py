@@ -176,6 +176,12 @@ def test_winnow_takes_rightmost_minima(text, k, w):
     assert list(zip(hashes.tolist(), places.tolist(), strict=True)) == brute_winnow(text, k, w)
 
 
+@given(st.text("ab c", max_size=80), st.integers(33, 60))
+def test_long_texts_are_winnowed_in_stretches(text, stretch):
+    whole, parts = winnowing.winnow(text, 4, 8), winnowing.winnow(text, 4, 8, stretch - 24)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parts, strict=True))
+
+
 def test_shared_passage_is_found():
     rng = random.Random(1)
     shared = "".join(rng.choices("abcdefgh", k=winnowing.GRAM + winnowing.WINDOW - 1))

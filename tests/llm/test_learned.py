@@ -33,6 +33,15 @@ def test_languages_of_held_out_texts(spark):
     assert got[903].rejected and not got[held[0][0]].rejected and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_copied_texts_are_sampled_once(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, "aa"), "aa", "", "") for i in range(60)] + [(100 + i, "ka lo mi tu re " * 9, "aa", "", "") for i in range(3000)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, DOC), per_language=1000, clusters=3)
+    assert model.centroids.shape[0] == 3
+    names, score, _, _ = model.predict(["ka lo mi", rows[3][1]])
+    assert names == ["aa", "aa"] and (score == 1).all()
+
+
 def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None, "", "")], DOC)
     model = language_id.fit_languages(docs)
