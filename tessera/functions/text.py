@@ -6,8 +6,12 @@ is spelled out in ``SPACE``, because the JVM's ``\\s`` knows ASCII only.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[ \t\n\x0B\f\r   -     　﻿]"
 
@@ -57,9 +61,21 @@ def excerpt(value: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most - 3))), F.lit("..."))).otherwise(text)
 
 
+@F.pandas_udf(T.StringType())
+def _normalize(value: pd.Series, form: pd.Series) -> pd.Series:
+    """Unicode normal forms, which Spark lacks."""
+    return pd.Series([None if v is None else unicodedata.normalize(f, v) for v, f in zip(value, form, strict=True)], dtype=object)
+
+
+def normalized(value: Column, form: str) -> Column:
+    """The value in a Unicode normal form; ASCII values, which have no other, do not leave the JVM."""
+    foreign = value.rlike(r"[^\x00-\x7F]")
+    return F.when(foreign, _normalize(F.when(foreign, value), F.lit(form))).otherwise(value)
+
+
 def slug(value: Column, most: int) -> Column:
     """Lower-case ASCII letters and digits with single dashes between, at most ``most`` characters."""
-    dashed = F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-")
+    dashed = F.regexp_replace(normalized(F.lower(value), "NFKD"), "[^a-z0-9]+", "-")
     return F.left(F.regexp_replace(dashed, "^-|-$", ""), F.lit(most))
 
 

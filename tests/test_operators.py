@@ -59,16 +59,43 @@ def test_page_windows_overlap_by_one(spark):
 
 
 def test_preflight_codes(spark):
-    files = spark.createDataFrame([("a", "t"), ("b", "t")], "path string, type string")
-    held = spark.createDataFrame([("a", "supports", "b"), ("b", "conflicts_with", "a"), ("b", "depends_on", "a"), ("b", "references", "a")], "source string, relation string, target string")
-    asked = [("a", "supports", "b", "t"), ("a", "conflicts_with", "b", "t"), ("a", "depends_on", "b", "t"), ("a", "references", "b", "t"), ("a", "routes_to", "z", "t"), ("a", "routes_to", "b", "u")]
-    got = {(r.relation, r.target, r.target_type): (r.issues, r.warned) for r in graph.preflight(spark.createDataFrame(asked, "source string, relation string, target string, target_type string"), held, files).collect()}
-    assert got["supports", "b", "t"] == (["relation_exact_duplicate"], False)
-    assert got["conflicts_with", "b", "t"] == (["relation_reverse_duplicate"], False)
-    assert got["depends_on", "b", "t"] == (["relation_cycle"], False)
-    assert got["references", "b", "t"] == ([], True)
-    assert got["routes_to", "z", "t"] == (["relation_target_missing"], False)
-    assert got["routes_to", "b", "u"] == (["relation_target_type_mismatch"], False)
+    files = spark.createDataFrame([(f"{k}.md", k.upper()) for k in "abcdefg"], "path string, type string")
+    edges = [("a", "supports", "b"), ("b", "conflicts_with", "a"), ("b", "depends_on", "c"), ("c", "depends_on", "d"), ("d", "depends_on", "e"), ("e", "supersedes", "f"), ("b", "covered_by", "a")]
+    held = spark.createDataFrame([(f"{a}.md", r, f"{b}.md") for a, r, b in edges], "source string, relation string, target string")
+    asked = [
+        ("a.md", "supports", "b.md", "B", "r"), ("a.md", "conflicts_with", "b.md", "B", None), ("b.md", "supports", "a.md", "A", "r"), ("e.md", "depends_on", "b.md", None, "r"),
+        ("e.md", "depends_on", "a.md", "", "r"), (" a.md", "routes_to", "a.md", "A", "r"), ("a.md", "supersedes", "f.md", "F", "r"), ("e.md", "supersedes", "f.md", "F", " "),
+        ("a.md", "invented", "../x.md", "A", "r"), ("a.md", "references", "c.md", "X", "r"), ("a.md", "covered_by", "b.md", "B", "r"), ("x.md", "references", "c.md", "C", "r"),
+    ]
+    got = graph.preflight(spark.createDataFrame(asked, "source string, relation string, target string, target_type string, reason string"), held, files).collect()
+    found = {(r.source, r.relation, r.target): (r.issues, r.warned, r.accepted) for r in got}
+    assert len(got) == len(asked) and found == {
+        ("a.md", "supports", "b.md"): (["relation_exact_duplicate"], False, False),
+        ("a.md", "conflicts_with", "b.md"): (["relation_reverse_duplicate"], False, False),
+        ("b.md", "supports", "a.md"): ([], True, True),
+        ("e.md", "depends_on", "b.md"): (["relation_cycle_detected"], False, False),
+        ("e.md", "depends_on", "a.md"): ([], False, True),
+        ("a.md", "routes_to", "a.md"): (["relation_self_link", "relation_cycle_detected"], False, False),
+        ("a.md", "supersedes", "f.md"): (["relation_competing_supersedes"], False, False),
+        ("e.md", "supersedes", "f.md"): (["relation_reason_required", "relation_exact_duplicate"], False, False),
+        ("a.md", "invented", "../x.md"): (["relation_type_not_allowed", "relation_target_invalid", "relation_target_missing"], False, False),
+        ("a.md", "references", "c.md"): (["relation_target_type_mismatch"], False, False),
+        ("a.md", "covered_by", "b.md"): (["relation_reverse_direction_conflict"], False, False),
+        ("x.md", "references", "c.md"): (["relation_source_missing"], False, False),
+    }
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(k, "depends_on", (k + 1) % 9) for k in range(9)] + [(20, "depends_on", 3), (4, "depends_on", 30), (40, "depends_on", 40), (0, "supports", 1)]
+    edges = spark.createDataFrame([(str(a), r, str(b)) for a, r, b in ring], "source string, relation string, target string")
+    got = {(r.source, r.target) for r in graph.leads_back(edges, edges).collect()}
+    assert got == {(str(k), str((k + 1) % 9)) for k in range(9)} | {("40", "40")}
+    assert graph.leads_back(edges.limit(0), edges).count() == 0
+
+
+def test_normal_forms(spark):
+    row = spark.range(1).select(tx.slug(F.lit("Caf\u00e9 \u00c9a"), 64).alias("slug"), tx.normalized(F.lit("\ufb01x \u00b2"), "NFKC").alias("wide"), tx.normalized(F.lit(None).cast("string"), "NFKC").alias("none")).first()
+    assert row.slug == "cafe-e-a" and row.wide == "fix 2" and row.none is None
 
 
 def test_traversal_is_depth_first(spark):
