@@ -75,12 +75,12 @@ def hybrid_merge(keyword: DataFrame, vector: DataFrame, key: str, k: int = 10) -
     return merged.select(key, F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"), "n_lists", F.row_number().over(order).alias("rank"))
 
 
-def lexical_scores(concepts: DataFrame, question: str) -> DataFrame:
+def lexical_scores(concepts: DataFrame, question: str | Column) -> DataFrame:
     """Score concepts (title, description, metadata, body) against a question.
 
     Adds score, qualifies and strength. The phrase and term weights are fixed.
     """
-    q = query_tokens(F.lit(question))
+    q = query_tokens(F.lit(question) if isinstance(question, str) else question)
     fields = {"title": (100, 20), "description": (50, 8), "metadata": (30, 5), "body": (10, 1)}  # fixed values
     tokens = {name: field_tokens(F.col(name)) for name in fields}
     phrase = {name: holds_phrase(tokens[name], q) for name in fields}

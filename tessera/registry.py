@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, base, bundles, conversation, documents, knowledge, review, search, workflow  # noqa: F401
+from tessera.plans import answers, base, bundles, concepts, conversation, documents, knowledge, review, search, workflow  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
