@@ -172,3 +172,15 @@ def test_continuations(spark):
     assert got == {1: ([130, 131, 132], [131, 132], []), 2: ([133], [], [])}
     two = [{"topic_id": i, "title": t, "headings": [], "pages": [5]} for i, t in enumerate("ab")]
     assert [t["ambiguous"] for t in continuation.extend_topics(two, [(5, "continued on next page", "continued")])] == [[5], [5]]
+
+
+def test_article_texts(spark):
+    from tessera.operators import articles
+
+    rows = [
+        ("# My  A\n", "My A"), ("\n# A.b\n\n# a.B\ntext\n## Source\nx", "A.b"), ("## Source\nonly", "t"), ("text\n## Source\nx\n## Notes\ny", "t"), ("# A\\E(x\nbody", "A\\E(x"), (None, "t"), ("", ""),
+    ]
+    made = spark.createDataFrame(rows, "body string, title string").select(articles.article_body(F.col("body"), F.col("title")).alias("body"))
+    assert [r.body for r in made.collect()] == ["# My  A", "text", "", "text\n## Source\nx\n## Notes\ny", "body", None, ""]
+    excerpt = articles.citation_excerpt(F.lit("## Pump (1) ### Use it\nwell ﬁne ## Source file.pdf p. 3"), F.lit("Pump (1)"))
+    assert spark.range(1).select(excerpt.alias("x")).first().x == "Use it well fine"
