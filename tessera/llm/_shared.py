@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from tessera.lineage import shared_dir, written
 
+__all__ = ["crc_bucket", "shared_dir", "table", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local
-    session gets a temporary folder, once; on a cluster that is an error, since
-    executors would not see each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        named = _OWN_DIRS[app]
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it in the shared folder and read it again.
-
-    Unlike a checkpoint this computes ``df`` once, and a lost executor costs
-    only a re-read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
