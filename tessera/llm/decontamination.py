@@ -252,16 +252,36 @@ class Items:
     held_by: np.ndarray  # items that hold each word of the vocabulary, word by word
     bounds: np.ndarray  # where each word's items begin in ``held_by``
 
-    def hits(self, hashes: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """How many words from ``first`` to ``last`` each item holds."""
+    def enough(self, hashes: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which rows have at least ``least`` words of their item from ``first`` to ``last``.
+
+        Rows with too few words of any item go first; the others' words are then
+        counted item by item.
+        """
+        if not len(self.vocabulary) or not len(hashes):
+            return np.zeros(0, dtype=np.int64)
         word = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        at = np.flatnonzero(self.vocabulary[word] == hashes) if len(self.vocabulary) else word[:0]
+        known = self.vocabulary[word] == hashes
+        running = np.concatenate((np.zeros(1, np.int64), np.cumsum(known)))
+        row = np.flatnonzero(running[last] - running[first] >= least)
+        item, first, last = item[row], first[row], last[row]
+        edge = np.bincount(first, minlength=len(hashes) + 1) - np.bincount(last, minlength=len(hashes) + 1)
+        at = np.flatnonzero(known & (np.cumsum(edge[:-1]) > 0))
         word = word[at]
-        count = self.bounds[word + 1] - self.bounds[word]
-        entry = np.arange(int(count.sum())) + np.repeat(self.bounds[word] - (np.cumsum(count) - count), count)
-        order = np.argsort(self.held_by[entry].astype(np.uint16), kind="stable")  # SLICE_ITEMS fit; places are in order already
-        key = self.held_by[entry[order]] * len(hashes) + np.repeat(at, count)[order]
-        return np.searchsorted(key, item * len(hashes) + last) - np.searchsorted(key, item * len(hashes) + first)
+        kind = np.int32 if len(self.words) * (len(hashes) + 1) < 1 << 31 and len(self.held_by) < 1 << 31 else np.int64
+        bounds = self.bounds.astype(kind)
+        count = np.diff(bounds)[word]
+        ends = np.cumsum(count)
+        entry = np.repeat(bounds[word] - (ends - count).astype(kind), count)
+        entry += np.arange(len(entry), dtype=kind)
+        held = self.held_by[entry]
+        order = np.argsort(held, kind="stable")  # 16 bits, which SLICE_ITEMS fit; places are in order already
+        key = held[order].astype(kind)
+        key *= len(hashes)
+        key += np.repeat(at.astype(kind), count)[order]
+        base = item.astype(kind) * kind(len(hashes))
+        found = np.searchsorted(key, base + last.astype(kind)) - np.searchsorted(key, base + first.astype(kind))
+        return row[found >= least[row]]
 
 
 def prepare_items(texts: list[str], space: LatentSpace) -> Items:
@@ -279,7 +299,7 @@ def prepare_items(texts: list[str], space: LatentSpace) -> Items:
     answers = [word_hashes(answer_of(t)).tolist() for t, _ in held]
     pairs = np.array(sorted({(w, k) for k, (_, h) in enumerate(held) for w in h.tolist()}), dtype=np.int64).reshape(-1, 2)
     vocabulary, starts = np.unique(pairs[:, 0], return_index=True)
-    return Items([t for t, _ in held], [h.tolist() for _, h in held], [places_of(h.tolist()) for _, h in held], answers, segments, vocabulary.astype(np.uint32), pairs[:, 1], np.append(starts, len(pairs)))
+    return Items([t for t, _ in held], [h.tolist() for _, h in held], [places_of(h.tolist()) for _, h in held], answers, segments, vocabulary.astype(np.uint32), pairs[:, 1].astype(np.uint16), np.append(starts, len(pairs)))
 
 
 def _places(flags: np.ndarray) -> np.ndarray:
@@ -334,7 +354,7 @@ def leaks_among(hashes: np.ndarray, bounds: np.ndarray, items: Items, space: Lat
     last = np.maximum(first, np.minimum(bounds[text + 1], begin + ALIGNED + size + slack))
     # No subsequence is longer than the number of the item's words in the surroundings.
     least = limits.paraphrase_lcs * size
-    enough = np.flatnonzero(items.hits(hashes, item, first, last) >= least)
+    enough = items.enough(hashes, item, first, last, least)
     best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     for doc, k, cos, a, b in zip(*(x[enough].tolist() for x in (text, item, cosine, first, last)), strict=True):
         words, region = items.words[k], hashes[a:b].tolist()
@@ -362,7 +382,7 @@ def find_leaks(
     names = [*keep, "_item", "cosine", "lcs_share", "answer_share", "first_word"]
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_item")).dropna(subset=["_item"])
     distinct = wanted.select("_item").distinct()
-    n_slices = max(1, -(-distinct.count() // SLICE_ITEMS))  # hashing deals them evenly, far from the 65536 that Items.hits can tell apart
+    n_slices = max(1, -(-distinct.count() // SLICE_ITEMS))  # hashing deals them evenly, far from the 65536 that Items.enough can tell apart
     found = None
     for k in range(n_slices):
         part = distinct.filter(F.pmod(F.xxhash64("_item"), F.lit(n_slices)) == k)  # some SLICE_ITEMS rows
