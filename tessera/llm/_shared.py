@@ -9,6 +9,7 @@ from tessera.lineage import shared_dir, written
 
 __all__ = ["crc_bucket", "shared_dir", "table", "written"]
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
