@@ -83,7 +83,7 @@ def _joined(held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint32(BUCKETS)).astype(np.int32)
+    return (hashes & np.uint32(BUCKETS - 1)).astype(np.int32)  # BUCKETS is a power of two
 
 
 def inverse_frequencies(words: DataFrame) -> np.ndarray:
@@ -260,7 +260,11 @@ class Items:
         """
         if not len(self.vocabulary) or not len(hashes):
             return np.zeros(0, dtype=np.int64)
-        word = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        low = np.zeros(1 << 16, dtype=bool)  # most words end in 16 bits that no known word has, and need no search
+        low[self.vocabulary & np.uint32(0xFFFF)] = True
+        maybe = np.flatnonzero(low[hashes & np.uint32(0xFFFF)])
+        word = np.zeros(len(hashes), dtype=np.int64)
+        word[maybe] = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
         known = self.vocabulary[word] == hashes
         running = np.concatenate((np.zeros(1, np.int64), np.cumsum(known)))
         row = np.flatnonzero(running[last] - running[first] >= least)
