@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import crc_bucket, table
+from tessera.llm.ball_clustering import cluster_vectors
 from tessera.llm.chat_format import render_chats
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.language_id import fit_languages, identify_languages
 from tessera.llm.packing import pack, pieces_of
+from tessera.llm.secret_scan import find_secrets, span_text
 from tessera.llm.simhash_dedup import near_duplicates
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.url_reputation import judge_urls, path_of
+from tessera.llm.vector_codes import compress_vectors
 from tessera.llm.winnowing import compare_with_edits
 
 #: The rules that the URL query applies: verdict, host, path.
@@ -106,6 +109,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ball_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after ten exact rounds from eight hashed starts."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, width=64)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: spans of the patterns, and those that the network adds."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(span_text("_base").cast("binary"), 256).alias("base_sha256"), span_text("_spans").alias("spans"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte code of every vector under four codebooks of 256 entries, trained in four exact rounds."""
+    return compress_vectors(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -117,12 +140,66 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_ball_clustering": op11_ball_clustering,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_SQUARE = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+#: sum / n, going down.
+_DOWN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """One assignment and one update as subqueries a round; distance and number go into one integer, so that the least breaks ties."""
+    nearest = "SELECT vec_id, kept.v, min({d} * {k} + c) AS best FROM kept, c{r} AS c GROUP BY vec_id, kept.v"
+    parts = [
+        f"kept AS MATERIALIZED (SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE len(embedding) = 64 AND {_SOUND})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest.format(d=_SQUARE.format(a='kept.v', b='c.v'), k=k, r=r)})")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c, list({_DOWN} ORDER BY i) AS v FROM (
+    SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT best % {k} AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c
+  UNION ALL SELECT c, v FROM c{r} WHERE c NOT IN (SELECT best % {k} FROM a{r}))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, CAST(best // {k} AS BIGINT) AS distance,
+       CAST(sum(best // {k}) OVER (PARTITION BY best % {k}) AS BIGINT) AS cluster_inertia, CAST(sum(best // {k}) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON c.c = best % {k}"""
+
+
+def _codes_sql(entries: int, rounds: int) -> str:
+    nearest = "SELECT vec_id, label, p, part, min({d} * {k} + e) AS best FROM cut JOIN b{r} AS b USING (p) GROUP BY vec_id, label, p, part"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, label, {_WHOLE} AS v FROM embeddings WHERE {_SOUND})",
+        "cut AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS part FROM kept, range(4) AS r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, e, part AS entry FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(d=_SQUARE.format(a='part', b='b.entry'), k=entries, r=r)})")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT p, e, list({_DOWN} ORDER BY i) AS entry FROM (
+    SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p, best % {entries} AS e, unnest(part) AS x, generate_subscripts(part, 1) AS i FROM a{r}) GROUP BY p, e, i) GROUP BY p, e
+  UNION ALL SELECT p, e, entry FROM b{r} WHERE (p, e) NOT IN (SELECT (p, best % {entries}) FROM a{r}))""")
+    return f"""WITH {", ".join(steps)}, done AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha256((SELECT string_agg(array_to_string(entry, ','), ',' ORDER BY p, e) FROM b{rounds})) AS codebooks_sha256 FROM done"""
+
+
 _STRENGTH_SQL = """coalesce(greatest(2.0, least(1000.0, CASE WHEN sum({n} * (({g} / {n} - {m}) * ({g} / {n} - {m}) - {m} * (1 - {m}) / {n})) / sum({n}) > 0
   THEN (sum({n} * {m} * (1 - {m})) / sum({n})) / (sum({n} * (({g} / {n} - {m}) * ({g} / {n} - {m}) - {m} * (1 - {m}) / {n})) / sum({n})) - 1 ELSE 1000.0 END)), 2.0)"""
 
 ORACLES = {
+    "op11_ball_clustering": _clustering_sql(8, 10),
+    "op13_vector_codes": _codes_sql(256, 4),
     "op5_url_reputation": f"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -223,6 +223,8 @@ def _bits(answer: list[dict] | None, sizes: dict[int, int]) -> np.ndarray:
 
 def _ask(chunk: int, names: np.ndarray, bits: int, shift: int, extra: Callable[[slice], bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Sorted names by bucket (their first bits): chunk, bucket, the packed rest of the names, and what goes with them."""
+    if not len(names):
+        return
     bucket = (names >> np.uint64(shift)).astype(np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(starts, np.append(starts[1:], len(names)), strict=True):
