@@ -8,14 +8,15 @@ stretches of 32 that are pooled together), one hidden layer, a logit.
 
 Labelled findings are the candidates that a base pattern touches; other
 candidates are ordinary. The network learns from a sample of at most
-``per_class`` windows of each kind, taken by hash, copies once, from documents
-outside the calibration fold. Half of the findings are shown once more with
-characters redrawn from several alphabets, and some without their surroundings,
-so that a key is known by its own look too. What follows covers all rows: every
-candidate is scored once and written, the logits of the whole calibration fold
-are counted in bins, a logistic curve through them turns logits into
-probabilities, and the threshold is the most precise one that keeps ``recall`` of
-the fold's findings.
+``per_class`` windows of findings and twice as many ordinary ones, taken by hash,
+copies once, from documents outside the calibration fold. Findings are shown once
+more with characters redrawn from several alphabets, and again so in the
+surroundings of ordinary candidates, so that a key is known by its own look. What
+follows covers all rows: every candidate is scored and written, findings also
+without their surroundings, the logits of the whole calibration fold are counted
+in bins, a logistic curve through them turns logits into probabilities, and the
+threshold keeps ``recall`` of the fold's findings when their surroundings are
+hidden, since that is how the patterns miss a key.
 
 Cases: a null text is empty and has no spans. A candidate that a base span touches
 adds nothing, since the base span stays. Without labelled findings, or without
@@ -117,13 +118,14 @@ def _features() -> np.ndarray:
 LOOKUP, FEATURES = _lookup(), _features()
 
 
-def windows(text: str, runs: list[tuple[int, int]]) -> tuple[list[str], list[int], list[int]]:
-    """Stretches of the candidates with their surroundings, each ``SPAN`` characters: strings, lengths inside, number of the run."""
+def windows(text: str, runs: list[tuple[int, int]], bare: bool = False) -> tuple[list[str], list[int], list[int]]:
+    """Stretches of the candidates, each ``SPAN`` characters with what surrounds it (if ``bare``, of the candidate only): strings, lengths inside, number of the run."""
     out, inside, of = [], [], []
     for k, (a, b) in enumerate(runs):
+        least, most = (a, b) if bare else (0, len(text))
         for s in range(a, b, STRETCH):
             e = min(b, s + STRETCH)
-            out.append((text[max(0, s - BEFORE) : s].rjust(BEFORE, "\0") + text[s : e + AFTER]).ljust(SPAN, "\0"))
+            out.append((text[max(least, s - BEFORE) : s].rjust(BEFORE, "\0") + text[s : min(most, e + AFTER)]).ljust(SPAN, "\0"))
             inside.append(e - s)
             of.append(k)
     return out, inside, of
@@ -175,11 +177,18 @@ class CharNetwork:
             starts = np.flatnonzero(np.diff(own, prepend=-1))
             top[own[starts]] = np.maximum(top[own[starts]], np.maximum.reduceat(high, starts))
             total[own[starts]] += np.add.reduceat(summed, starts)
-        count = np.bincount(owner, minlength=n)[:, None] * (SPAN - WIDTH + 1)
+        return self._decided(top, total / np.maximum(np.bincount(owner, minlength=n), 1)[:, None])
+
+    def _decided(self, top: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Logits from the maxima and the mean sums of windows."""
         w = self.weights
-        hidden = np.maximum(np.concatenate((top, total / np.maximum(count, 1)), axis=1) @ w["hidden"] + w["hidden_b"], 0)
+        hidden = np.maximum(np.concatenate((top, total / (SPAN - WIDTH + 1)), axis=1) @ w["hidden"] + w["hidden_b"], 0)
         return np.clip(hidden @ w["out"] + w["out_b"], -MOST_LOGIT, MOST_LOGIT)
 
+    def window_logits(self, codes: np.ndarray) -> np.ndarray:
+        """A logit for each encoded window by itself."""
+        return self._decided(*self.pooled(codes, self.tables()))
+
     def probability(self, logit: Column) -> Column:
         return 1.0 / (1.0 + F.exp(-(F.lit(self.slope) * logit + F.lit(self.shift))))
 
@@ -226,18 +235,22 @@ _ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXY
 
 
 def _varied(codes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sample and what is added: findings with redrawn characters, and windows of both kinds without surroundings."""
+    """The sample, findings with redrawn characters in their own and in ordinary surroundings, and some of all without any."""
     rng = np.random.default_rng(1)
-    drawn = codes[y == 1].copy()
+    drawn, moved = codes[y == 1].copy(), []
     for row in drawn:
         inside = np.flatnonzero(row >= len(_SYMBOLS))
         alphabet = LOOKUP[np.frombuffer(_ALPHABETS[rng.integers(len(_ALPHABETS))].encode(), dtype=np.uint8)]
         row[inside] = rng.choice(alphabet, len(inside)) + len(_SYMBOLS)
-    bare = np.concatenate((codes, drawn))
-    known = np.concatenate((y, np.ones(len(drawn), y.dtype)))
-    some = rng.random(len(bare)) < 0.5
-    hidden = np.where(bare >= len(_SYMBOLS), bare, 0)[some]
-    return np.concatenate((bare, hidden)), np.concatenate((known, known[some]))
+        other = codes[rng.choice(np.flatnonzero(y == 0))]
+        after = BEFORE + np.count_nonzero(other >= len(_SYMBOLS))
+        parts = np.concatenate((other[:BEFORE], row[inside], other[after : after + AFTER], np.zeros(SPAN, row.dtype)))
+        moved.append(np.where(np.arange(SPAN) < BEFORE + len(inside) + AFTER, parts[:SPAN], 0))
+    shown = np.concatenate((codes, drawn, np.array(moved, dtype=codes.dtype).reshape(-1, SPAN)))
+    known = np.concatenate((y, np.ones(len(shown) - len(y), y.dtype)))
+    some = rng.random(len(shown)) < 0.5
+    hidden = np.where(shown >= len(_SYMBOLS), shown, 0)[some]
+    return np.concatenate((shown, hidden)), np.concatenate((known, known[some]))
 
 
 def _fold(text: Column) -> Column:
@@ -280,65 +293,82 @@ def fit_network(docs: DataFrame, text: str = "text", per_class: int = 1500, roun
     if not codes[0] or not codes[1]:
         return CharNetwork()
     x = np.frombuffer(b"".join(codes[0] + codes[1]), dtype="<i2").reshape(-1, SPAN)
-    return _trained(*_varied(x, np.repeat([0, 1], [len(codes[0]), len(codes[1])])), rounds)
+    y = np.repeat([0, 1], [len(codes[0]), len(codes[1])])
+    # Keys that no pattern knows stand among the ordinary ones: what a first, short training takes for findings is left out,
+    # if it has digits beside letters, as words have not.
+    first = _trained(*_varied(x, y), max(1, rounds // 4))
+    inside = np.where(x >= len(_SYMBOLS), x - len(_SYMBOLS), 0)
+    digit = (inside >= _SYMBOLS.index("0")) & (inside <= _SYMBOLS.index("9"))
+    letter = (inside >= _SYMBOLS.index("a")) & (inside <= _SYMBOLS.index("Z"))
+    plain = (first.window_logits(x) < 0) | ~(digit.any(axis=1) & letter.any(axis=1))
+    if plain[y == 0].mean() > 0.9:
+        x, y = x[plain | (y == 1)], y[plain | (y == 1)]
+    return _trained(*_varied(x, y), rounds)
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
-_RUNS = "array<struct<start:int,end:int,logit:float,known:boolean>>"
+_RUNS = "array<struct<start:int,end:int,logit:float,bare:float>>"
 
 
 def scored_candidates(docs: DataFrame, network: CharNetwork, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, the base spans, every candidate with its logit, and whether the text is of the calibration fold; written."""
+    """``keep``, the base spans, every candidate with its logit, and whether the text is of the calibration fold; written.
+
+    Findings also have the logit that they get without their surroundings; it is null for ordinary candidates.
+    """
     content = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(*keep, _fold(content).alias("_fold"), content.alias("_scanned"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, runs, known, strings, inside, of, n = [], [], [], [], [], [], 0
+            spans, runs, known = [], [], []
+            held: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]  # windows as they stand, and those of findings without surroundings
+            sizes = [0, 0]
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 spans.append(base_spans(t))
                 runs.append(candidates(t))
                 known.append(touched(runs[-1], spans[-1]))
-                if network.weights and runs[-1]:
-                    own = windows(t, runs[-1])
-                    strings += own[0]
-                    inside += own[1]
-                    of += [n + k for k in own[2]]
-                n += len(runs[-1])
-            logits = iter(network.logits(strings, inside, of, n).tolist() if network.weights else [-MOST_LOGIT] * n)
-            listed = [[{"start": a, "end": b, "logit": next(logits), "known": bool(k)} for (a, b), k in zip(r, y, strict=True)] for r, y in zip(runs, known, strict=True)]
+                for bare, some in enumerate((runs[-1], [r for r, k in zip(runs[-1], known[-1], strict=True) if k])):
+                    for mine, own in zip(held[bare], windows(t, some, bool(bare)) if network.weights else ([], [], []), strict=True):
+                        mine += own if mine is not held[bare][2] else [sizes[bare] + k for k in own]
+                    sizes[bare] += len(some)
+            logits, bares = (iter((network.logits(*h, n) if network.weights else np.full(n, -MOST_LOGIT)).tolist()) for h, n in zip(held, sizes, strict=True))
+            listed = [[{"start": a, "end": b, "logit": next(logits), "bare": next(bares) if k else None} for (a, b), k in zip(r, y, strict=True)] for r, y in zip(runs, known, strict=True)]
             base = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans]
             span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-            run = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("logit", pa.float32()), ("known", pa.bool_())])
+            run = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("logit", pa.float32()), ("bare", pa.float32())])
             columns = [*batch.columns[:-1], pa.array(base, pa.list_(span)), pa.array(listed, pa.list_(run))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_fold", "_base", "_runs"])
 
     return written(source.mapInArrow(scan, f"{schema}, _base {_SPANS}, _runs {_RUNS}"), "candidates")
 
 
-def calibrated(network: CharNetwork, scored: DataFrame, recall: float = 0.99) -> CharNetwork:
-    """Curve and threshold from the logits of all candidates of the calibration fold, or of all where the fold has no findings."""
+def calibrated(network: CharNetwork, scored: DataFrame, recall: float = 0.95, unmarked: float = 0.001) -> CharNetwork:
+    """Curve and threshold from the logits of all candidates of the calibration fold, or of all where the fold has no findings.
+
+    The threshold keeps ``recall`` of the findings without surroundings. Where the
+    classes lie apart it stands halfway down to the logit that a share
+    ``unmarked`` of the ordinary candidates exceeds, as many as may be keys.
+    """
     if not network.weights:
         return network
-    bin_of = F.round(F.col("r.logit") / BIN).cast("int")
-    rows = scored.select("_fold", F.explode("_runs").alias("r")).groupBy("_fold", "r.known", bin_of.alias("bin")).count().collect()
+    known = F.col("r.bare").isNotNull()
+    bin_of = F.round(F.coalesce("r.bare", "r.logit") / BIN).cast("int")
+    rows = scored.select("_fold", F.explode("_runs").alias("r")).groupBy("_fold", known.alias("known"), bin_of.alias("bin")).count().collect()
     own = [r for r in rows if r["_fold"]]
     if {r["known"] for r in own} != {True, False}:
         own = rows
-    count = np.zeros((2, 2 * round(MOST_LOGIT / BIN) + 1))
+    zero = round(MOST_LOGIT / BIN)
+    count = np.zeros((2, 2 * zero + 1))
     for r in own:
-        count[int(r["known"]), r["bin"] + round(MOST_LOGIT / BIN)] += r["count"]
+        count[int(r["known"]), r["bin"] + zero] += r["count"]
     if not count[0].sum() or not count[1].sum():
         return network
-    at = (np.arange(count.shape[1]) - round(MOST_LOGIT / BIN)) * BIN
-    slope, shift = _curve(at, count)
-    kept = count[1][::-1].cumsum()[::-1]  # findings at or above each bin
-    wrong = count[0][::-1].cumsum()[::-1]
-    precision = kept / np.maximum(kept + wrong, 1)
-    fits = kept >= recall * count[1].sum()
-    best = np.flatnonzero(fits & (precision >= precision[fits].max()))
-    return CharNetwork(network.weights, slope, shift, float(at[best[len(best) // 2]]) - BIN / 2)
+    at = (np.arange(count.shape[1]) - zero) * BIN
+    above = count[:, ::-1].cumsum(axis=1)[:, ::-1]
+    high = at[np.flatnonzero(above[1] >= recall * count[1].sum()).max()]
+    low = at[np.flatnonzero(above[0] > unmarked * count[0].sum()).max()]
+    return CharNetwork(network.weights, *_curve(at, count), float(high - max(0.0, high - low) / 2 - BIN / 2))
 
 
 def _curve(at: np.ndarray, count: np.ndarray) -> tuple[float, float]:
@@ -355,7 +385,7 @@ def _curve(at: np.ndarray, count: np.ndarray) -> tuple[float, float]:
     return slope, shift
 
 
-def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), per_class: int = 1500, recall: float = 0.99) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), per_class: int = 1500, recall: float = 0.95) -> DataFrame:
     """``keep``, ``_base`` (spans of the patterns) and ``_spans`` (these and the learned ones with their probability), both by start and kind."""
     network = fit_network(docs, text, per_class)
     scored = scored_candidates(docs, network, text, keep)
@@ -363,7 +393,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     accepted = F.lit(False) if network.threshold is None else F.lit(True)
     cut = F.lit(network.threshold if network.threshold is not None else 0.0)
     learned = F.transform(
-        F.filter("_runs", lambda r: accepted & ~r["known"] & (r["logit"] >= cut)),
+        F.filter("_runs", lambda r: accepted & r["bare"].isNull() & (r["logit"] >= cut)),
         lambda r: F.struct(r["start"], F.lit(KINDS.index("learned")).alias("kind"), r["end"], network.probability(r["logit"].cast("double")).alias("probability")),
     )
     base = F.transform("_base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(1.0).alias("probability")))
