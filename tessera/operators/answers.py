@@ -18,6 +18,10 @@ INTROS = {
     "discovery": "No reviewed answer exists for this yet. From the raw indexed documents (unreviewed):", "okf_only": "Approved knowledge base:",
     "rag_only": "Found in the indexed documents:", "hybrid": "Approved knowledge plus supporting raw evidence:",
 }
+NOTICES = {
+    "gone": "This source is no longer available.", "retracted": "This source was retracted after this answer was generated.",
+    "archived": "This source is now archived and may no longer reflect current approved knowledge.",
+}
 MOST_BUNDLES = 10
 
 
@@ -62,17 +66,30 @@ def references_bundle(citations: Column, scope: Column, bundle: Column) -> Colum
     return named | (legacy & (F.size(scope) == 1) & F.get(scope, 0).eqNullSafe(bundle))
 
 
-def citation_notices(citations: DataFrame, lifecycle: DataFrame, documents: DataFrame) -> DataFrame:
-    """Citations (path, document_id) with the notice that their source is gone or not active, null where it is live."""
-    states = lifecycle.select(F.col("path").alias("_path"), F.col("status").alias("_status"))
-    known = documents.select(F.col("document_id").alias("_document"), F.col("deleted_at").isNotNull().alias("_deleted"))
-    held = citations.join(states, F.col("path") == F.col("_path"), "left").join(known, F.col("document_id") == F.col("_document"), "left")
-    status = F.coalesce("_status", F.lit("active"))
-    notice = (
-        F.when(F.col("path").isNotNull() & (status != "active"), F.concat(F.lit("concept_"), status))
-        .when(F.col("document_id").isNotNull() & F.col("_deleted").isNull(), "document_missing").when(F.col("_deleted"), "document_deleted")
-    )
-    return held.select(*citations.columns, notice.alias("notice"))
+def citation_notices(citations: DataFrame, lifecycle: DataFrame, documents: DataFrame, files: DataFrame, default_bundle: str | None = None) -> DataFrame:
+    """Citations (source_type, document_id, bundle_id, path, ...) with their bundle filled in and a notice where the source is no longer what it was.
+
+    ``lifecycle`` has bundle_id, path and status, ``documents`` document_id and
+    deleted_at, ``files`` bundle_id and path of what exists. A raw citation needs its
+    document, if it names one. An approved one needs a bundle and a path; then the
+    states retracted, archived and deleted tell, in this order, and then whether the
+    file is there. Null: nothing to tell.
+    """
+    okf = F.col("source_type") != "rag"
+    bundle = F.when(okf, F.coalesce("bundle_id", F.lit(default_bundle))).otherwise(F.col("bundle_id"))
+    held = citations.withColumn("bundle_id", bundle)
+    live = documents.filter("deleted_at is null").select(F.col("document_id").alias("_document")).distinct().withColumn("_live", F.lit(True))
+    states = lifecycle.select(F.col("bundle_id").alias("_b"), F.col("path").alias("_p"), F.col("status").alias("_status"))
+    there = files.select(F.col("bundle_id").alias("_fb"), F.col("path").alias("_fp")).distinct().withColumn("_there", F.lit(True))
+    held = held.join(live, F.col("document_id") == F.col("_document"), "left")
+    held = held.join(states, (F.col("bundle_id") == F.col("_b")) & (F.col("path") == F.col("_p")), "left")
+    held = held.join(there, (F.col("bundle_id") == F.col("_fb")) & (F.col("path") == F.col("_fp")), "left")
+    gone, status = F.lit(NOTICES["gone"]), F.col("_status")
+    approved = F.when(F.col("bundle_id").isNull() | (F.coalesce("path", F.lit("")) == ""), gone)
+    approved = approved.when(status == "retracted", NOTICES["retracted"]).when(status == "archived", NOTICES["archived"])
+    approved = approved.when((status == "deleted") | F.col("_there").isNull(), gone)
+    raw = F.when((F.coalesce("document_id", F.lit("")).cast("string") != "") & F.col("_live").isNull(), gone)
+    return held.select(*citations.columns, F.when(okf, approved).otherwise(raw).alias("notice"))
 
 
 def with_evidence(citations: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIFECYCLE = ("active", "superseded", "retracted", "deleting")
+# The states of a concept.
+LIFECYCLE = ("active", "archived", "deleting", "deleted", "retracted")
 
 
 def lifecycle_status(status: Column) -> Column:
-    """The status, where a missing or unknown one means active."""
-    return F.when(F.lower(status).isin(*LIFECYCLE), F.lower(status)).otherwise("active")
+    """The status, where a missing or unknown one means active; letters count as they are written."""
+    return F.when(status.isin(*LIFECYCLE), status).otherwise("active")
 
 
 def only_active(rows: DataFrame, lifecycle: DataFrame, keys: list[str]) -> DataFrame:

@@ -134,20 +134,39 @@ def proposed_pages(proposed: Column, window: Column, sourced: Column) -> Column:
 
 
 def topic_summaries(topics: DataFrame, pages: DataFrame, most: int = 180) -> DataFrame:
-    """topic_id and the joined text of its pages in order, collapsed and cut to ``most`` characters."""
+    """topic_id and the joined text of its pages in order, collapsed and cut to ``most`` characters.
+
+    Pages are collapsed whole before the join, and then no more of each is carried
+    than the cut could show.
+    """
     paged = topics.select("topic_id", "document_id", F.explode_outer(F.array_distinct("pages")).alias("page"))
-    texts = paged.join(pages.select("document_id", "page", F.left("text", F.lit(4 * most)).alias("text"), F.length("text").alias("n")), ["document_id", "page"], "left")
+    shown = pages.select("document_id", "page", F.left(collapsed(F.col("text")), F.lit(most + 2)).alias("text"))
+    texts = paged.join(shown, ["document_id", "page"], "left")
     joined = texts.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page", "text")))).alias("held"))
     text = collapsed(F.array_join(F.transform("held", lambda x: x["text"]), " "))
     short = F.when(F.length(text) <= most, text).otherwise(F.concat(F.trim(F.left(text, F.lit(most - 3))), F.lit("...")))
     return joined.select("topic_id", F.coalesce(F.nullif(short, F.lit("")), F.lit(NO_TEXT)).alias("summary"))
 
 
-def regenerated(drafts: DataFrame, fresh: DataFrame, document: str = "document_id") -> DataFrame:
-    """Topics after a document is discovered anew: its old drafts are replaced, what a reviewer decided stays."""
-    decided = drafts.filter(F.col("review_status").isin("approved", "rejected"))
-    untouched = drafts.filter(~F.col("review_status").isin("approved", "rejected")).join(fresh.select(document).distinct(), document, "left_anti")
-    return decided.unionByName(untouched).unionByName(fresh.select(drafts.columns))
+def discovery_errors(topics: DataFrame, pages: DataFrame) -> DataFrame:
+    """document_id and error of every document of which topics were proposed but none is valid."""
+    valid = discovered_topics(topics, pages).select("document_id").distinct()
+    none = topics.select("document_id").distinct().join(valid, "document_id", "left_anti")
+    return none.withColumn("error", F.lit("topic_discovery_no_valid_topics"))
+
+
+def regenerated(drafts: DataFrame, fresh: DataFrame, document: str = "document_id", topic: str = "topic_id") -> DataFrame:
+    """Topics (document, topic, pages, review_status, ...) after a document is discovered anew.
+
+    Its old drafts are replaced, what a reviewer decided stays, and fresh topics that
+    share a page with a decided one of their document are left out.
+    """
+    settled = F.col("review_status").isin("approved", "rejected")
+    decided = drafts.filter(settled)
+    untouched = drafts.filter(~settled).join(fresh.select(document).distinct(), document, "left_anti")
+    paged = lambda rows, *c: rows.select(*c, F.explode("pages").alias("_page"))
+    hit = paged(fresh, document, topic).join(paged(decided, document).distinct(), [document, "_page"], "left_semi").select(document, topic).distinct()
+    return decided.unionByName(untouched).unionByName(fresh.join(hit, [document, topic], "left_anti").select(drafts.columns))
 
 
 def merged_boundaries(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("topic_id", "from_page", "to_page")) -> DataFrame:
@@ -157,21 +176,6 @@ def merged_boundaries(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("t
     return both.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth", "_late")
 
 
-def deletion_effects(documents: DataFrame, topics: DataFrame, asked: DataFrame) -> DataFrame:
-    """What the deletion of the ``asked`` documents does to each of their topics.
-
-    An approved topic's concept is marked for deletion, unless a document that stays
-    exports the same title (``survivor``); other topics just go.
-    """
-    gone = asked.select("document_id").distinct()
-    live = documents.filter("deleted_at is null").select("document_id").join(gone, "document_id", "left_anti")
-    exported = topics.filter("review_status = 'approved'")
-    others = exported.join(live, "document_id", "left_semi").groupBy(F.col("title").alias("_title")).agg(F.count(F.lit(1)).alias("survivors"))
-    hit = topics.join(gone, "document_id", "left_semi").join(others, F.col("title").eqNullSafe(F.col("_title")), "left")
-    effect = F.when(F.col("review_status") != "approved", "removed").when(F.col("survivors").isNotNull(), "survivor").otherwise("deleting")
-    return hit.select("document_id", "topic_id", effect.alias("effect"), F.coalesce("survivors", F.lit(0)).alias("survivors"))
-
-
 def orphan_runs(runs: DataFrame, items: DataFrame, run: str = "run_id") -> DataFrame:
     """Runs that no remaining item belongs to."""
     return runs.join(items.select(run).distinct(), run, "left_anti")

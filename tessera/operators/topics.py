@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import collapsed
+from tessera.functions.text import SPACE, collapsed
 
 HEADING_MOST, SEEN_LINES = 90, 8
 # Lines that are never headings.
@@ -38,17 +38,37 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
 
 
 def boundary_lines(pages: DataFrame, edge: int = 3) -> DataFrame:
-    """Lines that stand among the first or last three of many pages, counted with repetition.
+    """Normal forms of lines that stand among the first or last three of many pages, counted with repetition.
 
     A line is a boundary if it is counted at least max(3, 30 % of the pages) times.
     """
-    lines = lines_of(F.col("text"))
+    lines = F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != "")
     ends = F.concat(F.slice(lines, 1, edge), F.reverse(F.slice(F.reverse(lines), 1, edge)))
     counts = pages.select("document_id", F.explode(ends).alias("line")).groupBy("document_id", "line").agg(F.count(F.lit(1)).alias("n"))
     sizes = pages.groupBy("document_id").agg(F.greatest(F.lit(3).cast("long"), F.ceil(F.count(F.lit(1)) * F.lit(0.3)).cast("long")).alias("least"))
     return counts.join(sizes, "document_id").filter("n >= least").select("document_id", "line", "n")
 
 
+def without_boundaries(pages: DataFrame, edge: int = 3) -> DataFrame:
+    """Pages (document_id, page, text) without running headers and footers; pages that hold nothing else are left out.
+
+    A line goes by its place: it must be among the first or last three lines of the
+    page as it stands, blank ones included, and its normal form a boundary line. All
+    other lines stay as they are. Only the few lines at the edges meet the boundary
+    lines, not the texts.
+    """
+    lines = F.split("text", "\n")
+    last = F.size(lines) - 1
+    at = F.array_distinct(F.concat(F.sequence(F.lit(0), F.least(F.lit(edge - 1), last)), F.sequence(F.greatest(F.lit(0), last - edge + 1), last)))
+    edges = pages.select("document_id", "page", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), normal_line(F.get(lines, i)).alias("line")))).alias("_e"))
+    hit = edges.select("document_id", "page", "_e.at", "_e.line").join(boundary_lines(pages, edge).select("document_id", "line"), ["document_id", "line"], "left_semi")
+    gone = hit.groupBy("document_id", "page").agg(F.collect_set("at").alias("_gone"))
+    held = pages.join(gone, ["document_id", "page"], "left")
+    kept = F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+    text = F.regexp_replace(F.array_join(kept, "\n"), f"^{SPACE}+|{SPACE}+$", "")
+    return held.withColumn("text", text).filter("text <> ''").select(pages.columns)
+
+
 def _confidence(line: Column) -> Column:
     """high for capitals or numbered headings, medium for short titles, else null."""
     upper = F.length(F.regexp_replace(line, "[^A-Z]", ""))

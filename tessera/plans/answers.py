@@ -49,18 +49,30 @@ def citation_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STATES = "['active', 'archived', 'deleting', 'deleted', 'retracted', 'odd']"
+
+
 @query(
-    f"""WITH {_C}, l AS (SELECT DISTINCT 'c' || (doc_id % 50) AS path, CASE WHEN doc_id % 50 % 4 = 0 THEN 'archived' WHEN doc_id % 50 % 4 = 1 THEN 'deleting' ELSE 'active' END AS status FROM documents WHERE doc_id % 50 < 40)
-SELECT answer_id, position, CASE WHEN path IS NOT NULL AND coalesce(status, 'active') <> 'active' THEN 'concept_' || status WHEN document_id IS NOT NULL AND document_id % 10 = 3 THEN 'document_missing' WHEN document_id % 10 = 4 THEN 'document_deleted' END AS notice FROM c LEFT JOIN l USING (path)"""
+    f"""WITH {_C}, k AS (SELECT *, CASE WHEN source_type = 'okf' THEN coalesce(bundle_id, 'b0') ELSE bundle_id END AS b FROM c),
+l AS (SELECT DISTINCT 'b' || (doc_id % 3) AS b, 'c' || (doc_id % 50) AS path, {_STATES}[doc_id % 50 % 6 + 1] AS status FROM documents WHERE doc_id % 50 < 40),
+f AS (SELECT DISTINCT 'b' || (doc_id % 3) AS b, 'c' || (doc_id % 50) AS path FROM documents WHERE doc_id % 50 % 7 <> 3)
+SELECT answer_id, position, b AS bundle_id, CASE
+  WHEN source_type = 'rag' THEN CASE WHEN document_id % 10 IN (3, 4) THEN 'This source is no longer available.' END
+  WHEN EXISTS (SELECT 1 FROM l WHERE l.b = k.b AND l.path = k.path AND status = 'retracted') THEN 'This source was retracted after this answer was generated.'
+  WHEN EXISTS (SELECT 1 FROM l WHERE l.b = k.b AND l.path = k.path AND status = 'archived') THEN 'This source is now archived and may no longer reflect current approved knowledge.'
+  WHEN EXISTS (SELECT 1 FROM l WHERE l.b = k.b AND l.path = k.path AND status = 'deleted') OR NOT EXISTS (SELECT 1 FROM f WHERE f.b = k.b AND f.path = k.path) THEN 'This source is no longer available.'
+END AS notice FROM k"""
 )
 def citation_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices of citations whose concept or document is gone."""
     docs = table(spark, sf_dir, "documents")
     n = F.col("doc_id") % 50
-    states = F.when(n % 4 == 0, "archived").when(n % 4 == 1, "deleting").otherwise("active")
-    lifecycle = docs.filter(n < 40).select(F.concat(F.lit("c"), n).alias("path"), states.alias("status")).distinct()
+    named = docs.select("doc_id", n.alias("n"), F.concat(F.lit("b"), F.col("doc_id") % 3).alias("bundle_id"), F.concat(F.lit("c"), n).alias("path"))
+    states = F.get(F.array(*map(F.lit, ("active", "archived", "deleting", "deleted", "retracted", "odd"))), (F.col("n") % 6).cast("int"))
+    lifecycle = named.filter("n < 40").select("bundle_id", "path", states.alias("status")).distinct()
     documents = docs.filter("doc_id % 10 <> 3").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 10 == 4, F.current_date()).alias("deleted_at"))
-    return answers.citation_notices(view(spark, sf_dir, _CITED, "documents"), lifecycle, documents).select("answer_id", "position", "notice")
+    noticed = answers.citation_notices(view(spark, sf_dir, _CITED, "documents"), lifecycle, documents, named.filter("n % 7 <> 3"), "b0")
+    return noticed.select("answer_id", "position", "bundle_id", "notice")
 
 
 @query(f"""WITH {_C}, e AS (SELECT answer_id, position, 'e:' || text AS text FROM c WHERE position <> 2)

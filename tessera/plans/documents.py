@@ -107,18 +107,30 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.repeated_lines(_pages(spark, sf_dir))
 
 
-@query(
-    f"""WITH {_PAGES_SQL}, s AS (
-  SELECT document_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pages_
+_BOUNDARY_SQL = f"""{_PAGES_SQL}, s AS (
+  SELECT document_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))), lambda x: x <> '') AS ls FROM pages_
 ), l AS (SELECT document_id, unnest(list_concat(list_slice(ls, 1, 3), list_slice(ls, greatest(1, len(ls) - 2), len(ls)))) AS line FROM s),
-n AS (SELECT document_id, greatest(3, CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT)) AS least FROM pages_ GROUP BY document_id)
-SELECT l.document_id, line, count(*) AS n FROM l JOIN n ON n.document_id = l.document_id GROUP BY l.document_id, line HAVING count(*) >= min(n.least)"""
-)
+n AS (SELECT document_id, greatest(3, CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT)) AS least FROM pages_ GROUP BY document_id),
+b AS (SELECT l.document_id, line, count(*) AS n FROM l JOIN n ON n.document_id = l.document_id GROUP BY l.document_id, line HAVING count(*) >= min(n.least))"""
+
+
+@query(f"WITH {_BOUNDARY_SQL} SELECT document_id, line, n FROM b")
 def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running headers and footers: lines at the edges of many pages."""
     return topics.boundary_lines(_pages(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_BOUNDARY_SQL}, r AS (SELECT document_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS size FROM pages_),
+k AS (SELECT document_id, page, line, i FROM r WHERE NOT ((i <= 3 OR i > size - 3) AND EXISTS (SELECT 1 FROM b WHERE b.document_id = r.document_id AND b.line = lower(trim(regexp_replace(r.line, '\\s+', ' ', 'g'))))))
+SELECT document_id, page, length(t) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT document_id, page, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS t FROM k GROUP BY document_id, page) WHERE t <> ''"""
+)
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without its running headers and footers."""
+    kept = topics.without_boundaries(_pages(spark, sf_dir))
+    return kept.select("document_id", "page", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query()
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections between headings, or coarse page ranges."""

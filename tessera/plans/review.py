@@ -102,7 +102,7 @@ def document_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PAGE = {"document_id": "CAST(floor(doc_id / 5) AS BIGINT)", "page": "doc_id % 5 + 1", "text": "CASE WHEN doc_id % 6 = 0 THEN '' ELSE substr(text, 1, 150) END"}
+_PAGE = {"document_id": "CAST(floor(doc_id / 5) AS BIGINT)", "page": "doc_id % 5 + 1", "text": "CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 7 = 0 THEN repeat(' ', 900) || text ELSE text END"}
 _CLEAN = r"regexp_replace(trim(regexp_replace(regexp_replace(title, '^[-•*\s]+', ''), '\s+', ' ', 'g')), '[,:;]$', '')"
 
 
@@ -135,14 +135,29 @@ def topic_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_T}, n AS (SELECT topic_id + 1000000 AS topic_id, document_id, 'needs_review' AS review_status FROM t WHERE document_id % 3 = 0)
-SELECT topic_id, document_id, review_status FROM t WHERE review_status IN ('approved', 'rejected') OR document_id % 3 <> 0 UNION ALL SELECT * FROM n"""
+    rf"""WITH {_T}, {view_sql("p", _PAGE, "documents")}, k AS (SELECT document_id, {_CLEAN} AS title FROM t WHERE document_id % 4 = 1 AND NOT {_BLANK.format("summary")} AND len(pages) > 0),
+j AS (SELECT document_id FROM k WHERE length(title) BETWEEN 4 AND 140 AND NOT regexp_matches(title, '^\d+([./-]\d+)*$') AND NOT regexp_matches(title, '(?i)^(page|figure|table)\s+\d+')
+  AND NOT regexp_matches(title, '(?i)^(warning|caution|note)\s*:') AND NOT regexp_matches(title, '^[a-z]') AND NOT regexp_matches(title, '[.!?]$') AND len(string_split(title, ' ')) <= 18)
+SELECT DISTINCT document_id, 'topic_discovery_no_valid_topics' AS error FROM t WHERE document_id % 4 = 1 AND document_id NOT IN (SELECT document_id FROM j)"""
+)
+def discovery_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (every fourth is asked) of whose proposed topics none is valid."""
+    topics = view(spark, sf_dir, _TOPIC, "documents").filter("document_id % 4 = 1")
+    return review.discovery_errors(topics, view(spark, sf_dir, {**_PAGE, "text": "NULL"}, "documents"))
+
+
+@query(
+    f"""WITH {_T}, n AS (SELECT topic_id + 1000000 AS topic_id, document_id, [topic_id % 5 + 2, topic_id % 5 + 7] AS pages, 'needs_review' AS review_status FROM t WHERE document_id % 3 = 0),
+a AS (SELECT topic_id, document_id, review_status, pages FROM t WHERE review_status IN ('approved', 'rejected') OR document_id % 3 <> 0
+UNION ALL SELECT topic_id, document_id, review_status, pages FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.document_id = n.document_id AND t.review_status IN ('approved', 'rejected') AND list_has_any(t.pages, n.pages)))
+SELECT topic_id, document_id, review_status, array_to_string(pages, ',') AS pages FROM a"""
 )
 def topic_regeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics after every third document is discovered anew."""
-    topics = view(spark, sf_dir, _TOPIC, "documents").select("topic_id", "document_id", "review_status")
-    fresh = topics.filter("document_id % 3 = 0").select((F.col("topic_id") + 1000000).alias("topic_id"), "document_id", F.lit("needs_review").alias("review_status"))
-    return review.regenerated(topics, fresh)
+    topics = view(spark, sf_dir, _TOPIC, "documents").select("topic_id", "document_id", "review_status", F.col("pages").cast("array<long>").alias("pages"))
+    place = F.col("topic_id") % 5
+    fresh = topics.filter("document_id % 3 = 0").select((F.col("topic_id") + 1000000).alias("topic_id"), "document_id", F.lit("needs_review").alias("review_status"), F.array(place + 2, place + 7).alias("pages"))
+    return review.regenerated(topics, fresh).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
 @query(
@@ -156,22 +171,6 @@ def boundary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.merged_boundaries(old, old.filter("topic_id % 2 = 0").withColumn("evidence", F.lit("new")))
 
 
-_DOCUMENT = {"document_id": "CAST(floor(doc_id / 5) AS BIGINT)", "deleted_at": "CASE WHEN floor(doc_id / 5) % 13 = 0 THEN DATE '2024-01-01' END"}
-_TITLED = {**_TOPIC, "title": "source || (doc_id % 40)"}
-
-
-@query(
-    f"""WITH {view_sql("t", _TITLED, "documents")}, d AS (SELECT DISTINCT * FROM ({view_sql("x", _DOCUMENT, "documents").removeprefix("x AS (").removesuffix(")")})),
-o AS (SELECT title, count(*) AS n FROM t WHERE review_status = 'approved' AND document_id IN (SELECT document_id FROM d WHERE deleted_at IS NULL AND document_id % 7 <> 0) GROUP BY title)
-SELECT document_id, topic_id, CASE WHEN review_status <> 'approved' THEN 'removed' WHEN n IS NOT NULL THEN 'survivor' ELSE 'deleting' END AS effect, coalesce(n, 0) AS survivors
-FROM t LEFT JOIN o ON o.title = t.title WHERE document_id % 7 = 0"""
-)
-def document_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What deleting every seventh document does to its topics."""
-    documents = view(spark, sf_dir, _DOCUMENT, "documents").distinct()
-    return review.deletion_effects(documents, view(spark, sf_dir, _TITLED, "documents"), documents.filter("document_id % 7 = 0"))
-
-
 @query("""WITH r AS (SELECT DISTINCT doc_id % 500 AS run_id FROM documents), i AS (SELECT doc_id % 500 AS run_id FROM documents WHERE (doc_id % 500) % 3 <> 0)
 SELECT run_id FROM r WHERE run_id NOT IN (SELECT run_id FROM i)""")
 def orphan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

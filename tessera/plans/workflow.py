@@ -186,13 +186,13 @@ def bundle_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'retracted' WHEN max(quality) = 0 THEN 'superseded' ELSE 'unknown' END AS status FROM labels GROUP BY doc_id)
-SELECT d.doc_id FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id WHERE coalesce(a.status, 'active') NOT IN ('retracted', 'superseded')"""
+    """WITH a AS (SELECT doc_id, ['archived', 'deleting', 'deleted', 'retracted', 'superseded', 'Retracted', 'active'][doc_id % 7 + 1] AS status FROM labels WHERE toxic = 1 OR quality = 0)
+SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = d.doc_id AND (a.status LIKE 'archiv%' OR a.status LIKE 'delet%' OR a.status = 'retracted'))"""
 )
 def active_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose lifecycle is active; unknown and missing statuses are."""
-    status = F.when(F.max("toxic") == 1, "retracted").when(F.max("quality") == 0, "superseded").otherwise("unknown")
-    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(status.alias("status"))
+    status = F.get(F.array(*map(F.lit, ("archived", "deleting", "deleted", "retracted", "superseded", "Retracted", "active"))), (F.col("doc_id") % 7).cast("int"))
+    marks = table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 0").select("doc_id", status.alias("status"))
     return lc.only_active(table(spark, sf_dir, "documents").select("doc_id"), marks, ["doc_id"])
 
 

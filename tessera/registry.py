@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, articles, base, bundles, concepts, conversation, documents, knowledge, profiles, review, search, workflow  # noqa: F401
+from tessera.plans import answers, articles, base, bundles, concepts, conversation, deletion, documents, knowledge, layout, profiles, review, search, verification, workflow  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
