@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import field_tokens, holds_phrase, keyword_terms, query_tokens
 
 CANDIDATE_CAP, FUSION_K = 2000, 60
+#: Query rows that are broadcast at most.
+MOST_BROADCAST = 4096
 
 
 def retrieval_filter(chunks: DataFrame, **allowed: list | None) -> DataFrame:
@@ -45,15 +47,20 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, query_id: str, query_vector: str, vector: str, key: str, k: int = 10) -> DataFrame:
-    """Per query the ``k`` rows of the highest cosine, by an exact scan; ties by key.
+def bounded(queries: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A stated query set, to be broadcast if it has at most ``most`` rows; a larger one meets the rows block by block."""
+    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
 
-    ``queries`` is a stated, small query set and is broadcast; the window keeps k
-    rows a query in each task before anything is shuffled.
+
+def vector_search(vectors: DataFrame, queries: DataFrame, query_id: str, query_vector: str, vector: str, key: str, k: int = 10, within: str | None = None) -> DataFrame:
+    """Per query (and value of ``within``) the ``k`` rows of the highest cosine, by an exact scan; ties by key.
+
+    The window keeps k rows a query in each task before anything is shuffled.
     """
     score = F.round(cosine(F.col(vector), F.col(query_vector)), 6)
-    scored = vectors.crossJoin(F.broadcast(queries.select(query_id, query_vector))).select(query_id, key, score.alias("score"))
-    order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), key)
+    groups = [query_id, *([within] if within else [])]
+    scored = vectors.crossJoin(bounded(queries.select(query_id, query_vector))).select(*groups, key, score.alias("score"))
+    order = Window.partitionBy(*groups).orderBy(F.col("score").desc(), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
