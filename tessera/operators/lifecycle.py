@@ -87,3 +87,24 @@ def page_context(pages: DataFrame, spans: DataFrame, document: str, page: str, m
     """
     wanted = spans.withColumn(page, F.explode(F.sequence(F.greatest(F.lit(1), F.col("start") - margin), F.col("end") + margin)))
     return wanted.join(pages, [document, page])
+
+
+# Tokens that may be embedded of a document, of a workspace a day, and overall a day.
+BUDGETS = {"document": 250_000, "workspace": 1_000_000, "global": 5_000_000}
+
+
+def budget_verdict(tokens: Column, workspace_used: Column, global_used: Column, **most: int) -> Column:
+    """The first budget that embedding ``tokens`` more would exceed, else ok."""
+    caps = {**BUDGETS, **most}
+    return (
+        F.when(tokens > caps["document"], "document_budget_exceeded").when(workspace_used + tokens > caps["workspace"], "workspace_budget_exceeded")
+        .when(global_used + tokens > caps["global"], "global_budget_exceeded").otherwise("ok")
+    )
+
+
+def job_totals(chunks: DataFrame, results: DataFrame, job: str = "job_id") -> DataFrame:
+    """Each job's estimated tokens over its chunks (job, tokens), and how its results (job, status) came out; zeros where it has none."""
+    tokens = chunks.groupBy(job).agg(F.sum("tokens").alias("token_estimate"), F.count(F.lit(1)).alias("n_chunks"))
+    count = lambda s: F.count_if(F.col("status") == s)
+    synced = results.groupBy(job).agg(count("synced").alias("synced"), count("skipped-unchanged").alias("skipped_unchanged"), count("failed").alias("failed"))
+    return tokens.join(synced, job, "full").fillna(0)

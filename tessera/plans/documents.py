@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, continuation, topics
+from tessera.operators import chunking, continuation, lifecycle, topics
 from tessera.plans.base import query, table
 
 _WS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -32,23 +32,36 @@ def heuristic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, source, CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS n FROM documents),
-u AS (SELECT source, sum(n) AS used FROM t GROUP BY source), g AS (SELECT sum(n) AS used FROM t)
-SELECT doc_id, n AS n_tokens, CASE WHEN n > 4000 THEN 'document_budget_exceeded' WHEN u.used + n > 25000 THEN 'workspace_budget_exceeded'
-       WHEN g.used + n > 500000000 THEN 'global_budget_exceeded' ELSE 'ok' END AS verdict
-FROM t JOIN u ON u.source = t.source, g"""
+    """WITH t AS (SELECT doc_id, source, CAST(ceil(length(text) * 40 / 4.0::DOUBLE) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL),
+u AS (SELECT source, sum(n) AS used FROM t WHERE doc_id % 7 = 0 GROUP BY source), g AS (SELECT sum(n) AS used FROM t WHERE doc_id % 7 = 0)
+SELECT doc_id, n AS n_tokens, CASE WHEN n > 250000 THEN 'document_budget_exceeded' WHEN coalesce(u.used, 0) + n > 1000000 THEN 'workspace_budget_exceeded'
+       WHEN g.used + n > 5000000 THEN 'global_budget_exceeded' ELSE 'ok' END AS verdict
+FROM t LEFT JOIN u ON u.source = t.source, g"""
 )
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document may be embedded: document, workspace and overall budgets, in that order, all strict."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", tx.quarter_tokens(F.col("text")).alias("n_tokens"))
-    used = docs.groupBy("source").agg(F.sum("n_tokens").alias("used"))
+    """Whether a document of forty times the text may be embedded, after every seventh one was: budgets of document, workspace and all."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", tx.quarter_tokens(F.repeat("text", F.lit(40))).alias("n_tokens"))
+    done = docs.filter("doc_id % 7 = 0")
+    used = done.groupBy("source").agg(F.sum("n_tokens").alias("used"))
     total = used.agg(F.sum("used").alias("total"))  # one row
-    n = F.col("n_tokens")
-    verdict = (
-        F.when(n > 4000, "document_budget_exceeded").when(F.col("used") + n > 25000, "workspace_budget_exceeded")
-        .when(F.col("total") + n > 500000000, "global_budget_exceeded").otherwise("ok")
-    )
-    return docs.join(used, "source").crossJoin(F.broadcast(total)).select("doc_id", "n_tokens", verdict.alias("verdict"))
+    verdict = lifecycle.budget_verdict(F.col("n_tokens"), F.coalesce("used", F.lit(0)), F.col("total"))
+    return docs.join(used, "source", "left").crossJoin(F.broadcast(total)).select("doc_id", "n_tokens", verdict.alias("verdict"))
+
+
+@query(
+    f"""WITH c AS (SELECT source AS job_id, greatest(1, CAST(ceil({_WORDS} * 1.35::DOUBLE) AS BIGINT)) AS n FROM documents WHERE doc_id % 9 <> 0),
+r AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'other' ELSE source END AS job_id, doc_id % 6 AS k FROM documents)
+SELECT coalesce(a.job_id, b.job_id) AS job_id, CAST(coalesce(token_estimate, 0) AS BIGINT) AS token_estimate, coalesce(n_chunks, 0) AS n_chunks, CAST(coalesce(synced, 0) AS BIGINT) AS synced, CAST(coalesce(skipped_unchanged, 0) AS BIGINT) AS skipped_unchanged, CAST(coalesce(failed, 0) AS BIGINT) AS failed
+FROM (SELECT job_id, sum(n) AS token_estimate, count(*) AS n_chunks FROM c GROUP BY job_id) a FULL JOIN (SELECT job_id, count_if(k IN (0, 1, 2)) AS synced, count_if(k = 3) AS skipped_unchanged, count_if(k = 4) AS failed FROM r GROUP BY job_id) b ON a.job_id = b.job_id"""
+)
+def index_job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens and results of every index job; a job for each source."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.filter("doc_id % 9 <> 0").select(F.col("source").alias("job_id"), tx.heuristic_tokens(F.col("text")).alias("tokens"))
+    k = F.col("doc_id") % 6
+    status = F.when(k < 3, "synced").when(k == 3, "skipped-unchanged").when(k == 4, "failed").otherwise("odd")
+    results = docs.select(F.when(F.col("doc_id") % 50 == 0, "other").otherwise(F.col("source")).alias("job_id"), status.alias("status"))
+    return lifecycle.job_totals(chunks, results)
 
 
 @query(

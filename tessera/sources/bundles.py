@@ -91,27 +91,91 @@ def concept_columns(parsed: DataFrame) -> DataFrame:
     """The fields of a concept as columns."""
     scalar = lambda n: F.element_at("scalars", F.lit(n))
     listed = lambda n: F.coalesce(F.element_at("lists", F.lit(n)), F.array().cast("array<string>"))
-    pages = F.array_compact(F.transform(listed("source_pages"), lambda p: p.try_cast("int")))
+    pages = F.element_at("lists", F.lit("source_pages"))
     return parsed.select(
         "path", scalar("type").alias("type"), scalar("title").alias("title"), scalar("description").alias("description"),
         scalar("review_status").alias("review_status"), scalar("source_file").alias("source_file"), pages.alias("source_pages"),
-        listed("tags").alias("tags"), "relations", "body",
+        F.array_compact(F.transform(F.coalesce(pages, F.array().cast("array<string>")), lambda p: p.try_cast("int"))).alias("page_numbers"), listed("tags").alias("tags"), scalar("updated").alias("updated"), "relations", "body",
     )
 
 
-def validation_errors(concepts: DataFrame) -> DataFrame:
-    """Generic-metadata error codes of every concept and whether an agent may use it."""
-    blank = lambda c: F.col(c).isNotNull() & (F.trim(c) == "")
-    bad_type = F.col("type").isNull() | ~F.col("type").rlike("^[A-Za-z][A-Za-z0-9 _-]*$")
+# The pattern of a type, and files that are no concepts.
+TYPE_PATTERN = "^[a-z][a-z0-9_-]{0,63}$"
+RESERVED = ("index.md", "log.md", "source_manifest.md")
+
+
+def validation_errors(concepts: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``keep``, errors, agent_ready and trust of concepts (path, type, title, description, tags, updated, review_status, source_file, source_pages, body).
+
+    A null column was not given; a blank one was. A date must be a real one in ISO
+    form. An agent may use a valid concept that is approved and has a title, a body,
+    a source file and source pages, all positive whole numbers. Trust says which of
+    these a file falls short of; reserved files are not judged.
+    """
+    given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    blank = lambda c: F.col(c).isNotNull() & ~given(c)
+    day = F.trim("updated")
+    real = F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) & (F.date_format(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == day)
     checks = [
-        (bad_type, "type_invalid"), (blank("title"), "title_blank"), (blank("description"), "description_blank"),
-        (F.exists("tags", lambda t: F.trim(t) == ""), "tag_blank"),
+        (F.exists("tags", lambda t: ~given(t)), "tags_invalid"), (~given("type"), "type_required"), (given("type") & ~F.trim("type").rlike(TYPE_PATTERN), "type_invalid"),
+        (blank("title"), "title_invalid"), (blank("description"), "description_invalid"), (given("updated") & ~F.coalesce(real, F.lit(False)), "updated_invalid"),
     ]
-    errors = F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks)))
-    pages = (F.size("source_pages") > 0) & F.forall("source_pages", lambda p: p > 0)
-    ready = (F.size(errors) == 0) & (F.col("review_status") == "approved") & (F.coalesce("title", F.lit("")) != "") & (F.trim("body") != "")
-    ready = ready & (F.coalesce("source_file", F.lit("")) != "") & pages
-    return concepts.select("path", errors.alias("errors"), F.coalesce(ready, F.lit(False)).alias("agent_ready"))
+    errors = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(f"generic_okf_{n}")) for c, n in checks)))
+    pages = F.transform(F.col("source_pages").cast("array<string>"), lambda p: p.try_cast("double"))
+    whole = F.forall(pages, lambda p: F.coalesce((p > 0) & (p == F.floor(p)), F.lit(False)))
+    ready = (F.col("review_status") == "approved") & given("title") & given("body") & given("source_file") & (F.size(pages) > 0) & whole
+    some = F.col("review_status").isNotNull() | F.col("source_file").isNotNull() | F.col("source_pages").isNotNull()
+    held = concepts.withColumn("errors", errors).withColumn("agent_ready", (F.size("errors") == 0) & F.coalesce(ready, F.lit(False)))
+    trust = (
+        F.when(F.col("path").isin(*RESERVED), "reserved").when(F.size("errors") > 0, "invalid_generic").when(F.col("agent_ready"), "agent_ready")
+        .when(some, "missing_trust_metadata").otherwise("generic_valid")
+    )
+    return held.select(*keep, "errors", "agent_ready", trust.alias("trust"))
+
+
+# The fields of every profile (the first is required), its own type, and the states of a concept.
+BASE_FIELDS = (
+    "type", "title", "description", "tags", "updated", "approved_at", "approved_by", "review_status", "source_file", "source_pages", "source_authority",
+    "knowledge_version", "relations", "classification_code", "coverage_type", "covered_rag_chunk_ids", "document_type", "effectivity", "revision", "subject_family",
+)
+OWN_TYPE = "source_manifest"
+STATUS_VALUES = ("raw_extracted", "needs_ai_cleanup", "needs_human_review", "approved", "rejected", "deprecated")
+
+
+def manifest_text(profiles: DataFrame) -> DataFrame:
+    """bundle_id and manifest of profiles (bundle_id, name, types, relations, fields: array of name and required).
+
+    Fields are the base ones in their order, a profile's own word on one of them
+    taking its place, then the others; types come in order of their names.
+    """
+    none = F.array().cast("array<struct<name:string,required:boolean>>")
+    own = F.coalesce("fields", none)
+    base = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(n == BASE_FIELDS[0]).alias("required")) for n in BASE_FIELDS))
+    said = lambda f: F.get(F.filter(own, lambda o: o["name"] == f["name"]), 0)["required"]
+    first = F.transform(base, lambda f: F.struct(f["name"].alias("name"), F.coalesce(said(f), F.when(F.exists(own, lambda o: o["name"] == f["name"]), F.lit(False)), f["required"]).alias("required")))
+    rest = F.filter(own, lambda o: ~o["name"].isin(*BASE_FIELDS))
+    fields = F.concat(first, F.transform(rest, lambda o: F.struct(o["name"].alias("name"), F.coalesce(o["required"], F.lit(False)).alias("required"))))
+    listed = lambda need: F.transform(F.filter(F.col("_fields"), lambda f: f["required"] == need), lambda f: F.concat(F.lit("      - "), f["name"]))
+    line = lambda *texts: F.array(*map(F.lit, texts))
+    held = profiles.withColumn("_fields", fields)
+    held = held.withColumn("_body", F.concat(line("      required:"), listed(True), line("      optional:"), listed(False), line("      status_values:", *(f"      - {s}" for s in STATUS_VALUES))))
+    types = F.array_sort(F.array_distinct(F.array_append(F.coalesce("types", F.array().cast("array<string>")), F.lit(OWN_TYPE))))
+    typed = F.flatten(F.transform(types, lambda t: F.concat(F.array(F.concat(F.lit("    "), t, F.lit(":"))), F.col("_body"))))
+    quoted = F.col("name")
+    for sign, written_as in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        quoted = F.replace(quoted, F.lit(sign), F.lit(written_as))
+    quoted = F.concat(F.lit('"'), quoted, F.lit('"'))
+    text = F.concat(
+        line("okf_version: '0.1'", "base:"), F.array(F.concat(F.lit("  name: "), quoted)),
+        line(
+            "  roots:", "  - path: .", "    exclude_patterns:", "    - '**/.DS_Store'", "    - '**/README.md'", "  reserved_files:", "    index: index.md", "    log: log.md",
+            "  status_field: review_status", "  link_resolution:", "    external_refs:", "    - source_manifest.md", "relations:", "  allowed:",
+        ),
+        F.transform(F.coalesce("relations", F.array().cast("array<string>")), lambda r: F.concat(F.lit("  - "), r)),
+        line("profile:", "  date_fields:", "  - updated", "  - approved_at", "  - deprecated_at", "  types:"), typed,
+        line("hygiene:", "  broken_links: error", "  split_candidates: warn", "  reserved_files: error", "  unknown_fields: error", ""),
+    )
+    return held.select("bundle_id", F.array_join(text, "\n").alias("manifest"))
 
 
 def edges_of(parsed: DataFrame) -> DataFrame:

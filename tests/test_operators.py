@@ -149,10 +149,10 @@ def test_bundle_round_trip(spark, tmp_path):
     (root / "b.md").write_text("no frontmatter")
     parsed = bundles.parse_bundle(bundles.scan_bundle(spark, str(root)))
     concepts = {r.path: r for r in bundles.concept_columns(parsed).collect()}
-    assert concepts["sub/a.md"].source_pages == [3] and concepts["sub/a.md"].tags == ["one"] and concepts["b.md"].type is None
+    assert concepts["sub/a.md"].page_numbers == [3] and concepts["sub/a.md"].source_pages == ["3", "x"] and concepts["sub/a.md"].tags == ["one"] and concepts["b.md"].type is None
     assert values(bundles.edges_of(parsed).select("source", "target")) == [("sub/a.md", "b.md")]
-    checked = {r.path: (r.errors, r.agent_ready) for r in bundles.validation_errors(bundles.concept_columns(parsed)).collect()}
-    assert checked == {"sub/a.md": ([], True), "b.md": (["type_invalid"], False)}
+    checked = {r.path: (r.errors, r.agent_ready, r.trust) for r in bundles.validation_errors(bundles.concept_columns(parsed)).collect()}
+    assert checked == {"sub/a.md": ([], False, "missing_trust_metadata"), "b.md": (["generic_okf_type_required"], False, "invalid_generic")}
 
 
 def test_partition_replacement(spark, tmp_path):
