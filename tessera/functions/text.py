@@ -104,3 +104,9 @@ def safe_path(value: Column) -> Column:
     path = F.array_join(walked["kept"], "/")
     bad = walked["escaped"] | value.startswith("/") | value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | ~path.endswith(".md")
     return F.when(~bad, path)
+
+
+def is_safe_path(value: Column) -> Column:
+    """Whether ``safe_path`` has a path; one without dots as parts, colons and backslashes is told by its end alone."""
+    plain = value.rlike(r"^[^/\\:][^\\:]*$") & ~value.rlike(r"(^|/)\.{0,2}(/|$)")
+    return F.when(plain, value.endswith(".md")).otherwise(safe_path(value).isNotNull())
