@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -170,8 +172,41 @@ def test_continuations(spark):
     topics_ = spark.createDataFrame([(1, 1, "Smoke Fire Fumes", ["SMOKE FIRE FUMES"], [130]), (1, 2, "Other", ["OTHER"], [133])], "document_id long, topic_id long, title string, headings array<string>, pages array<long>")
     got = {r.topic_id: (r.pages, r.added, r.ambiguous) for r in continuation.resolve_continuations(pages, topics_).collect()}
     assert got == {1: ([130, 131, 132], [131, 132], []), 2: ([133], [], [])}
-    two = [{"topic_id": i, "title": t, "headings": [], "pages": [5]} for i, t in enumerate("ab")]
-    assert [t["ambiguous"] for t in continuation.extend_topics(two, [(5, "continued on next page", "continued")])] == [[5], [5]]
+    two = spark.createDataFrame([(1, 1, "a", [], [140]), (1, 2, "b", None, [140])], topics_.schema)
+    plain = spark.createDataFrame([(1, 140, "Continued on next page"), (1, 141, "continued")], pages.schema)
+    assert values(continuation.resolve_continuations(plain, two).select("topic_id", "added", "ambiguous")) == [(1, [], [140]), (2, [], [140])]
+
+
+def swept(pages, fits):
+    """Sweeps over all breaks until one changes nothing."""
+    pages, before = [set(p) for p in pages], None
+    breaks = sorted(set().union(*fits)) if fits else []
+    several = [set() for _ in pages]
+    while before != pages:
+        before = [set(p) for p in pages]
+        for b in breaks:
+            here = [t for t, p in enumerate(pages) if b in fits[t] and (max(p) == b or min(p) == b + 1 or {b, b + 1} <= p)]
+            for t in here if len(here) > 1 else ():
+                several[t].add(b)
+            if len(here) == 1:
+                pages[here[0]] |= {b, b + 1}
+    return pages, several
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(1, 12), min_size=1, max_size=3), st.sets(st.integers(0, 12))), max_size=5))
+def test_growth_equals_sweeps(topics_):
+    pages, fits = [p for p, _ in topics_], [f for _, f in topics_]
+    assert continuation.grown(pages, fits) == swept(pages, fits)
+
+
+def test_labels_that_fit(spark):
+    cases = [
+        (["engine", "fire"], ["engine", "fire", "drill"], True), (["engine"], ["engine", "fire"], False), (["engine"], ["engine"], True), ([], ["engine"], False),
+        (["fire", "drill"], ["engine", "fire"], False), (["a1", "b"], ["a1", "b"], True), (["ab", "c"], ["xab", "c"], False),
+    ]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in cases], "a array<string>, b array<string>")
+    assert [r.x for r in rows.select(continuation.related(F.col("a"), F.col("b")).alias("x")).collect()] == [x for *_, x in cases]
 
 
 def test_article_texts(spark):
