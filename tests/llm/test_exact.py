@@ -150,6 +150,24 @@ def test_suffixes_of_nothing(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("texts", [
+    ["".join(random.Random(i).choices("abcdefghij", k=300)) for i in range(8)], ["short", "x" * 19, "", None, "y" * 49], ["a b", "lone " * 4000], [None, ""], ["only one text, of some eighty bytes, which nothing repeats and which repeats nothing"],
+    ["z" * 50, "z" * 50], ["é" * 40, "é" * 40 + "x"],
+])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_texts_without_repeats_and_short_ones_stay(spark, texts, parts):
+    rows = [(i, t, 5, i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk int, rest long").repartition(parts)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    starts = {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = {k for at in range(len(b) - 49) if starts.get(b[at : at + 50], i) < i for k in range(at, at + 50)}
+        assert bytes(got[i]["_kept"]) == bytes(x for k, x in enumerate(b) if k not in gone) and (got[i].chunk, got[i]["rest"]) == (5, i)
+        for at in range(len(b) - 49):
+            starts.setdefault(b[at : at + 50], i)
+
+
 @given(st.lists(st.integers(0, (1 << 63) - 1), unique=True))
 def test_packed_integers_come_back(values):
     ascending = np.array(sorted(values), dtype=np.uint64)
