@@ -294,7 +294,7 @@ def prepare_items(texts: list[str], space: LatentSpace) -> Items:
     found: dict[int, tuple[list, list, list]] = {}
     for k, (_, h) in enumerate(held):
         width = next(w for w in WINDOWS if w + w // 2 - 1 <= len(h))
-        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, width // 4)), len(h) - width}))
+        starts = np.array(sorted({*range(0, len(h) - width + 1, max(1, width // 2)), len(h) - width}))
         vectors, item, offset = found.setdefault(width, ([], [], []))
         vectors.append(space.vectors(h, starts, starts + width))
         item += [k] * len(starts)

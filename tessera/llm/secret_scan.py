@@ -258,6 +258,18 @@ def _fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text, F.lit("fold")), F.lit(5)) == 0
 
 
+def _smallest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of the smallest ``h``; a count of leading bits cuts off the others first, so that no more than about ``n`` are ever gathered."""
+    lead = F.shiftright("h", 51)  # 4096 values
+    counts = sorted(tuple(r) for r in rows.groupBy(lead.alias("lead")).count().collect())
+    total, most = 0, None
+    for value, count in counts:
+        total, most = total + count, value
+        if total >= n:
+            break
+    return rows.filter(lead <= F.lit(most)).orderBy("h", "codes").limit(n)
+
+
 def fit_network(docs: DataFrame, text: str = "text", per_class: int = 1500, rounds: int = 12) -> CharNetwork:
     """Learn from at most ``per_class`` findings and twice as many ordinary candidates; they are all that the driver sees."""
     bounds = (2 * per_class, per_class)
@@ -289,7 +301,7 @@ def fit_network(docs: DataFrame, text: str = "text", per_class: int = 1500, roun
 
     source = docs.filter(F.col(text).isNotNull() & ~_fold(F.col(text))).select(F.col(text).alias("_text"))
     taken = written(source.mapInArrow(sample, "y int, h long, codes binary").dropDuplicates(), "windows")
-    codes = [[r[0] for r in taken.filter(F.col("y") == y).orderBy("h", "codes").limit(bounds[y]).select("codes").collect()] for y in (0, 1)]
+    codes = [[r[0] for r in _smallest(taken.filter(F.col("y") == y), bounds[y]).select("codes").collect()] for y in (0, 1)]
     if not codes[0] or not codes[1]:
         return CharNetwork()
     x = np.frombuffer(b"".join(codes[0] + codes[1]), dtype="<i2").reshape(-1, SPAN)
