@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._hashing import Rolling
+from tessera.lineage import recorded
 from tessera.llm._shared import shared_dir, written
 
 LEAST, RANKED = 50, 20
@@ -170,6 +171,7 @@ def chunked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     name = f"tessera_chunks_{uuid.uuid4().hex}"
+    recorded(path, name)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = source.mapInArrow(gather, "chunk long, ids binary, ends binary, data binary, rest binary")
     chunks.write.format("parquet").bucketBy(parts, "chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
