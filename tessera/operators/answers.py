@@ -88,7 +88,7 @@ def citation_notices(citations: DataFrame, lifecycle: DataFrame, documents: Data
     approved = F.when(F.col("bundle_id").isNull() | (F.coalesce("path", F.lit("")) == ""), gone)
     approved = approved.when(status == "retracted", NOTICES["retracted"]).when(status == "archived", NOTICES["archived"])
     approved = approved.when((status == "deleted") | F.col("_there").isNull(), gone)
-    raw = F.when((F.coalesce("document_id", F.lit("")).cast("string") != "") & F.col("_live").isNull(), gone)
+    raw = F.when((F.coalesce(F.col("document_id").cast("string"), F.lit("")) != "") & F.col("_live").isNull(), gone)
     return held.select(*citations.columns, F.when(okf, approved).otherwise(raw).alias("notice"))
 
 
