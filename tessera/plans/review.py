@@ -134,16 +134,19 @@ def topic_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.topic_summaries(topics, view(spark, sf_dir, _PAGE, "documents")).join(cleaned, "topic_id")
 
 
+_ALONE = {**_TOPIC, "document_id": "doc_id"}
+
+
 @query(
-    rf"""WITH {_T}, {view_sql("p", _PAGE, "documents")}, k AS (SELECT document_id, {_CLEAN} AS title FROM t WHERE document_id % 4 = 1 AND NOT {_BLANK.format("summary")} AND len(pages) > 0),
+    rf"""WITH {view_sql("t", _ALONE, "documents")}, k AS (SELECT document_id, {_CLEAN} AS title FROM t WHERE NOT {_BLANK.format("summary")} AND len(pages) > 0),
 j AS (SELECT document_id FROM k WHERE length(title) BETWEEN 4 AND 140 AND NOT regexp_matches(title, '^\d+([./-]\d+)*$') AND NOT regexp_matches(title, '(?i)^(page|figure|table)\s+\d+')
   AND NOT regexp_matches(title, '(?i)^(warning|caution|note)\s*:') AND NOT regexp_matches(title, '^[a-z]') AND NOT regexp_matches(title, '[.!?]$') AND len(string_split(title, ' ')) <= 18)
-SELECT DISTINCT document_id, 'topic_discovery_no_valid_topics' AS error FROM t WHERE document_id % 4 = 1 AND document_id NOT IN (SELECT document_id FROM j)"""
+SELECT DISTINCT document_id, 'topic_discovery_no_valid_topics' AS error FROM t WHERE document_id NOT IN (SELECT document_id FROM j)"""
 )
 def discovery_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (every fourth is asked) of whose proposed topics none is valid."""
-    topics = view(spark, sf_dir, _TOPIC, "documents").filter("document_id % 4 = 1")
-    return review.discovery_errors(topics, view(spark, sf_dir, {**_PAGE, "text": "NULL"}, "documents"))
+    """Documents of one proposed topic each whose topic is not valid."""
+    pages = view(spark, sf_dir, {"document_id": "doc_id", "page": _PAGE["page"]}, "documents")
+    return review.discovery_errors(view(spark, sf_dir, _ALONE, "documents"), pages)
 
 
 @query(
