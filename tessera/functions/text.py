@@ -7,6 +7,7 @@ is spelled out in ``SPACE``, because the JVM's ``\\s`` knows ASCII only.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ FIELD_STOPWORDS = "a an and are as at be by can do does for from how in into is
 GENERIC_TERMS = "check checks document documents manual manuals procedure procedures system systems troubleshoot troubleshooting".split()
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often and however deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def words_between(value: Column, pattern: str, least: int) -> Column:
     """Lower-case parts of ``value`` between matches of ``pattern`` that have at least ``least`` characters."""
     return F.filter(F.split(F.lower(value), pattern), lambda w: F.length(w) >= least)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE
+from tessera.functions.text import SPACE, bound
 
 TITLE_MOST, SECTION_MOST, HEADING_MOST = 80, 60, 120
 _BLANK = re.compile(r"\n\s*\n")
@@ -204,9 +204,14 @@ def contextual_text(title: Column, heading: Column, page_start: Column, page_end
 
 
 def deterministic_vector(text: Column, size: int = 64) -> Column:
-    """A unit vector made from sha256 of the text and a counter: bytes b become b / 127.5 - 1."""
+    """A unit vector made from sha256 of the text and a counter: bytes b become b / 127.5 - 1.
+
+    Lambdas work out anew, for every entry, what they take from outside; so the
+    digest, the raw entries and the norm are bound once a row.
+    """
     blocks = -(-size // 32)
     digest = F.concat(*(F.sha2(F.concat(text, F.lit(f":{i}")), 256) for i in range(blocks)))
-    raw = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.conv(F.substring(digest, 2 * i - 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    byte = lambda d, i: F.conv(F.substring(d, 2 * i - 1, F.lit(2)), 16, 10).cast("double")
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    made = bound(digest, lambda d: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: byte(d, i) / 127.5 - 1.0))
+    return bound(made, lambda raw: bound(norm(raw), lambda n: F.transform(raw, lambda x: x / n)))
