@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking
+from tessera.operators import chunking, graph
 
 
 def test_vectors_hash_a_text_once(spark):
@@ -21,4 +23,25 @@ def test_vectors_hash_a_text_once(spark):
     raw = [b / 127.5 - 1.0 for b in raw]
     norm = math.sqrt(sum(x * x for x in raw))
     assert all(abs(a - b / norm) < 1e-12 for a, b in zip(got[17], raw, strict=True))
-    assert spark.sql("select cast(null as string) as t").select(chunking.deterministic_vector(F.col("t")).alias("v")).first().v is None
+
+
+def test_tagged_pairs_are_found_in_place_and_once(spark, monkeypatch):
+    """Pairs were exploded by tag and term with both concepts beside them and shuffled to be made distinct."""
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    monkeypatch.setattr(graph, "STRIP", 5)
+    draw = random.Random(3)
+    rows = [(f"p{i:03}", draw.choice([None, "", "f1", "f2", f"g{i}"]), [draw.randint(1, 9)], draw.sample(["A", "b ", "c", "", "d"], draw.randint(0, 3)), draw.sample(["x", "Y", "z", "u", "v", "w"], draw.randint(0, 4))) for i in range(90)]
+    frame = spark.createDataFrame(rows, "path string, source_file string, pages array<int>, tags array<string>, terms array<string>").repartition(3)
+    found = graph.discover_relations(frame)
+    clean = lambda values: {v.strip().lower() for v in values}
+    expected = []
+    for a, b in itertools.combinations(rows, 2):
+        tags, terms, same = clean(a[3]) & clean(b[3]) - {""}, clean(a[4]) & clean(b[4]), a[1] == b[1]
+        close = same and abs(a[2][0] - b[2][0]) <= 3
+        signals = [name for name, on in (("shared_source_file", same and a[1]), ("shared_tags", tags), ("title_description_overlap", len(terms) >= 2), ("source_page_proximity", close)) if on]
+        if len(signals) >= 2:
+            expected.append((a[0], b[0], signals, "supports" if close else "references", sorted(tags), sorted(terms)))
+    assert len(expected) > 300
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    plan = graph.discover_relations(frame, matched=False)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_path" not in plan and "hashpartitioning(source#" not in plan
