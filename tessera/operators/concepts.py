@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import collapsed, field_tokens, query_tokens, safe_path
+from tessera.lineage import written
 from tessera.operators.graph import degrees
 from tessera.operators.retrieval import lexical_scores, vector_search
 
@@ -28,16 +29,17 @@ def concept_evidence(
     ``questions`` (query_id, question, vector) is a stated, small set; ``concepts`` has
     path, title, description, metadata, body, provenance and content_hash,
     ``embeddings`` path, content_hash and vector. Questions and concepts meet on common
-    words. Only questions without lexical evidence are searched by vector, over
+    words; path is a key. Only questions without lexical evidence are searched by vector, over
     embeddings of the current content. A question without evidence of either kind gets
     its weak lexical and close vector matches, merged by path.
     """
-    fields = ("title", "description", "metadata", "body")
-    words = concepts.select("path", F.explode(F.array_distinct(F.concat(*(field_tokens(F.col(f)) for f in fields)))).alias("term"))
+    # A concept is read once: its words are cut, compared with the few wanted ones, and only what meets is scored and kept.
     asked = questions.select("query_id", "question").filter(F.size(query_tokens(F.col("question"))) > 0)
-    terms = asked.select("query_id", F.explode(query_tokens(F.col("question"))).alias("term"))
-    pairs = words.join(F.broadcast(terms), "term").select("query_id", "path").distinct()
-    scored = lexical_scores(pairs.join(concepts, "path").join(F.broadcast(asked), "query_id"), F.col("question"))
+    wanted = asked.agg(F.array_distinct(F.flatten(F.collect_list(query_tokens(F.col("question"))))).alias("_wanted"))  # one row
+    words = F.array_distinct(F.concat(*(field_tokens(F.col(f)) for f in ("title", "description", "metadata", "body"))))
+    near_any = concepts.crossJoin(F.broadcast(wanted)).withColumn("_met", F.array_intersect(words, "_wanted")).filter(F.size("_met") > 0)
+    pairs = near_any.drop("_wanted").crossJoin(F.broadcast(asked)).filter(F.arrays_overlap("_met", query_tokens(F.col("question")))).drop("_met")
+    scored = written(lexical_scores(pairs, F.col("question")).select("query_id", "path", "title", "provenance", "score", "qualifies", "strength"), "scored")
     rank = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
     approval = F.when(F.col("provenance") == "human", 0).when(F.col("provenance") == "automated", 1).otherwise(2)
     best = (F.col("score").desc(), approval, "title", "path")

@@ -11,7 +11,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, graph, retrieval
+from tessera.operators import chunking, concepts, graph, retrieval
 
 
 def test_vectors_hash_a_text_once(spark):
@@ -77,3 +77,15 @@ def test_block_search_equals_the_scan(spark, monkeypatch, within):
     order = lambda r: (r[0], r[1] or "", r[4])
     assert sorted(got, key=order) == sorted(expected, key=order)
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_concepts_are_scored_once(spark):
+    """The words of all concepts were exploded and joined anew for lexical evidence, open questions and near misses."""
+    held = spark.createDataFrame([(i, f"pump {i}", "valve" if i % 2 else None, "m", "seal " * 3, "human", i) for i in range(12)], "path long, title string, description string, metadata string, body string, provenance string, content_hash long")
+    vectors = held.select("path", "content_hash", F.array(F.lit(1.0), F.col("path").cast("double")).alias("vector"))
+    asked = spark.createDataFrame([(1, "pump valve", [1.0, 2.0]), (2, "seal", [1.0, 3.0]), (3, "nothing known", [1.0, 3.0]), (4, "", [1.0, 3.0])], "query_id int, question string, vector array<double>")
+    found = concepts.concept_evidence(asked, held, vectors)
+    got = [(r.query_id, r.path, r.kind, r.mode) for r in found.orderBy("query_id", "rank").collect()]
+    assert got[:4] == [(1, i, "evidence", "lexical") for i in (1, 11, 3, 5)]
+    assert {g[0] for g in got} == {1, 2, 3} and {g[3] for g in got if g[0] == 3} == {"vector"}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
