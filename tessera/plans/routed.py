@@ -98,9 +98,7 @@ def answer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.slice(F.array_sort(keyword_terms(F.col("text"))), 1, 5)
     wanted = docs.filter("chunk_id % 100 = 0").join(asked.select(F.col("query_id").alias("chunk_id")), "chunk_id").select(F.col("chunk_id").alias("query_id"), F.explode(terms).alias("word"))
     words = docs.select("chunk_id", "bundle_id", F.explode(F.array_distinct(words_between(F.col("text"), "[^a-z0-9]+", 3))).alias("word"))
-    hits = words.join(wanted, "word").groupBy("query_id", "bundle_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    order = Window.partitionBy("query_id", "bundle_id").orderBy(F.col("hits").desc(), "chunk_id")
-    keyword = hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 10")
+    keyword = retrieval.term_search(docs.select("chunk_id", "bundle_id"), words, wanted.withColumnRenamed("query_id", "_id"), "chunk_id", "bundle_id").withColumnRenamed("_id", "query_id")
     vector = retrieval.vector_search(vectors.join(docs.select("chunk_id", "bundle_id"), "chunk_id"), asked, "query_id", "v", "embedding", "chunk_id", within="bundle_id")
     found = routed.fused_candidates(keyword, vector, ["query_id", "bundle_id"])
     chunks = docs.select("chunk_id", F.when(F.col("chunk_id") % 11 != 0, "raw_extraction").otherwise("okf_topic").alias("source_type"), F.lit("raw_extracted").alias("review_status"))

@@ -89,3 +89,21 @@ def test_concepts_are_scored_once(spark):
     assert got[:4] == [(1, i, "evidence", "lexical") for i in (1, 11, 3, 5)]
     assert {g[0] for g in got} == {1, 2, 3} and {g[3] for g in got if g[0] == 3} == {"vector"}
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_term_search_counts_in_place(spark, monkeypatch):
+    """Every chunk that shared a word with a query was a row of a shuffle."""
+    draw = random.Random(4)
+    chunks = [(i, f"b{i % 3}", draw.sample("abcdefgh", draw.randint(1, 5))) for i in range(120)]
+    asked = [(q, draw.sample("abcdefghxyz", 4)) for q in range(30)]
+    frame = spark.createDataFrame(chunks, "key long, part string, words array<string>").repartition(3)
+    wanted = spark.createDataFrame(asked, "_id long, words array<string>").select("_id", F.explode("words").alias("word"))
+    for name, size in (("WORD_BLOCK", 16), ("QUERY_BLOCK", 7), ("STRIP", 3)):
+        monkeypatch.setattr(retrieval, name, size)
+    found = retrieval.term_search(frame.select("key", "part"), frame.select("key", "part", F.explode("words").alias("word")), wanted, "key", "part", k=4)
+    expected = []
+    for q, words in asked:
+        for part in ("b0", "b1", "b2"):
+            hits = sorted((-len(set(words) & set(w)), key) for key, p, w in chunks if p == part and set(words) & set(w))
+            expected += [(q, part, key, i + 1) for i, (_, key) in enumerate(hits[:4])]
+    assert sorted(tuple(r) for r in found.select("_id", "part", "key", "rank").collect()) == sorted(expected)
