@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE, collapsed
+from tessera.functions.text import SPACE, bound, collapsed
 
 #: Fixed value: how far an item may stand from the first item of its line.
 NEAR = 2.0
@@ -25,25 +25,31 @@ def page_texts(pages: DataFrame, items: DataFrame, near: float = NEAR) -> DataFr
     a line at its height. Lines go downwards, items of a line from left to right,
     ties by position; items without x or y follow as lines of their own. A word that
     a line end cuts before a small letter is joined. Blank items are left out, and a
-    page without items has an empty text. Only the distinct heights of a page are
-    gathered to find its lines.
+    page without items has an empty text. The items of a page come together once,
+    as its text does; only its distinct heights are compared to find its lines.
     """
     keys = ["document_id", "page"]
     held = items.withColumn("text", collapsed(F.col("text"))).filter("text <> ''")
-    placed = held.filter("x is not null and y is not null").withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
-    loose = held.filter("x is null or y is null")
-    heights = placed.groupBy(*keys, "y").agg(F.min("position").alias("position"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "y"))), lambda h: h["y"])
-    opened = heights.groupBy(*keys).agg(line_anchors(ordered, near).alias("_anchors"))
-    # Heights meet the anchors once each; the items then follow their height.
-    number = F.array_position(F.transform("_anchors", lambda a: F.abs(a - F.col("y")) <= near), F.lit(True))
-    of_height = heights.join(opened, keys).select(*keys, "y", number.alias("line"), F.element_at("_anchors", number.cast("int")).alias("top"))
-    parts = F.array_sort(F.collect_list(F.struct("x", "position", "text")))
-    lines = placed.join(of_height, [*keys, "y"]).groupBy(*keys, "line", "top").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
-    rows = lines.select(*keys, F.lit(0).alias("kind"), (-F.col("top")).alias("down"), F.col("line").cast("long").alias("nth"), "text")
-    rows = rows.unionByName(loose.select(*keys, F.lit(1).alias("kind"), F.lit(0.0).alias("down"), F.col("position").cast("long").alias("nth"), "text"))
-    listed = F.array_sort(F.collect_list(F.struct("kind", "down", "nth", "text")))
-    joined = rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r["text"]), "\n").alias("text"))
+    item = F.struct("position", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")
+    gathered = held.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    placed = lambda i: i["x"].isNotNull() & i["y"].isNotNull()
+
+    def in_lines(ys: Column) -> Column:
+        """The items in order of reading, from the distinct heights in order of position."""
+        number = lambda a: F.transform(ys, lambda y: F.array_position(F.transform(a, lambda top: F.abs(top - y) <= near), F.lit(True)))
+
+        def row(i: Column, anchors: Column, numbers: Column) -> Column:
+            line = F.get(numbers, (F.array_position(ys, i["y"]) - 1).cast("int"))
+            down = F.when(placed(i), -F.get(anchors, (line - 1).cast("int"))).otherwise(F.lit(0.0))
+            nth = F.when(placed(i), line).otherwise(i["position"].cast("long"))
+            return F.struct(F.when(placed(i), 0).otherwise(1).alias("kind"), down.alias("down"), nth.alias("nth"), i["x"].alias("x"), i["position"].alias("position"), i["text"].alias("text"))
+
+        return bound(line_anchors(ys, near), lambda a: bound(number(a), lambda n: F.array_sort(F.transform("_items", lambda i: row(i, a, n)))))
+
+    heights = F.array_distinct(F.transform(F.filter("_items", placed), lambda i: i["y"]))
+    same_line = lambda p, i: (i["kind"] == 0) & (p["kind"] == 0) & (p["nth"] == i["nth"])
+    parted = lambda rows: F.transform(rows, lambda i, n: F.concat(F.when(n == 0, "").when(same_line(F.get(rows, n - 1), i), " ").otherwise("\n"), i["text"]))
+    joined = gathered.select(*keys, F.array_join(bound(bound(heights, in_lines), parted), "").alias("text"))
     whole = F.regexp_replace(F.regexp_replace("text", r"-\n(?=[a-z])", ""), f"^{SPACE}+|{SPACE}+$", "")
     made = pages.select(*keys).join(joined, keys, "left").withColumn("text", F.coalesce(whole, F.lit("")))
     return made.withColumn("char_count", F.floor(F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("long"))

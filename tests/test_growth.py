@@ -11,7 +11,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, concepts, graph, retrieval
+from tessera.functions import text
+from tessera.operators import chunking, concepts, graph, layout, retrieval
+from tessera.registry import QUERIES
 
 
 def test_vectors_hash_a_text_once(spark):
@@ -107,3 +109,21 @@ def test_term_search_counts_in_place(spark, monkeypatch):
             hits = sorted((-len(set(words) & set(w)), key) for key, p, w in chunks if p == part and set(words) & set(w))
             expected += [(q, part, key, i + 1) for i, (_, key) in enumerate(hits[:4])]
     assert sorted(tuple(r) for r in found.select("_id", "part", "key", "rank").collect()) == sorted(expected)
+
+
+def test_items_of_a_page_come_together_once(spark):
+    """Items were dealt by height, then by line, then by page; white space is told as before."""
+    items = spark.createDataFrame([(1, 0, 0, 5.0, 10.0, "b"), (1, 0, 1, 1.0, 11.0, "a"), (1, 0, 2, 0.0, 30.0, " top- "), (1, 0, 3, None, 1.0, "loose"), (1, 0, 4, 1.0, 28.5, "x"), (1, 0, 5, 2.0, 2.0, " 　")], "document_id long, page int, position int, x double, y double, text string")
+    found = layout.page_texts(items.select("document_id", "page").distinct(), items)
+    assert [(r.text, r.char_count) for r in found.collect()] == [("top- x\na b\nloose", 16)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    odd = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    space = set(" \t\n\x0b\f\r\xa0     　﻿") | {chr(c) for c in range(0x2000, 0x200B)}
+    told = spark.createDataFrame([(c,) for c in odd], "c string").filter(F.col("c").rlike(f"^{text.SPACE}$")).collect()
+    assert {r.c for r in told} == space
+
+
+def test_fitting_breaks_are_found_once(spark, sf_dir):
+    """Breaks and headings were found anew for topics that grow and for those that don't."""
+    plan = QUERIES["topic_continuations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "document_id" in plan
