@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalized
+from tessera.lineage import written
 from tessera.operators.topics import SEEN_LINES, lines_of
 
 # The marker patterns, and words that carry no meaning in a label.
@@ -116,7 +117,7 @@ def resolve_continuations(pages: DataFrame, topics: DataFrame) -> DataFrame:
     plain = topics.select(F.col("document_id").cast("long").alias("document_id"), F.col("topic_id").cast("long").alias("topic_id"), "title", "headings", F.col("pages").cast("array<long>").alias("pages")).filter(F.size("pages") > 0)
     headings = F.split(normalized(F.array_join(F.coalesce("headings", F.array().cast("array<string>")), "\x00"), "NFKC"), "\x00")
     fits = fitting_breaks(boundaries(pages), plain.withColumn("headings", headings)).groupBy("document_id", "topic_id").agg(F.collect_list(F.col("from_page").cast("long")).alias("fits"))
-    held = plain.drop("title", "headings").join(fits, ["document_id", "topic_id"], "left")
+    held = written(plain.drop("title", "headings").join(fits, ["document_id", "topic_id"], "left"), "fits")
     # Topics that no break fits don't change, and don't meet the others of their document.
     still = held.filter("fits is null").select("document_id", "topic_id", F.array_sort(F.array_distinct("pages")).alias("pages"), *(F.array().cast("array<long>").alias(c) for c in ("added", "ambiguous")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SPACE, collapsed
+from tessera.lineage import written
 
 HEADING_MOST, SEEN_LINES = 90, 8
 # Lines that are never headings.
@@ -104,7 +105,7 @@ def heading_sections(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("page")
     heads = heading_candidates(pages).withColumn("before", F.lag(normal_line(F.col("heading"))).over(order))
     heads = heads.filter(F.col("before").isNull() | (F.col("before") != normal_line(F.col("heading"))))
-    heads = heads.withColumn("next", F.lead("page").over(order)).withColumnRenamed("page", "page_start")
+    heads = written(heads.withColumn("next", F.lead("page").over(order)).withColumnRenamed("page", "page_start"), "heads")
     last = pages.select("document_id", "page")
     inside = heads.join(last, "document_id").filter((F.col("page") >= F.col("page_start")) & (F.col("next").isNull() | (F.col("page") < F.col("next"))))
     sections = inside.groupBy("document_id", "page_start", "heading", "confidence").agg(F.max("page").alias("page_end"), F.count(F.lit(1)).alias("n_pages"))
