@@ -127,3 +127,32 @@ def test_fitting_breaks_are_found_once(spark, sf_dir):
     """Breaks and headings were found anew for topics that grow and for those that don't."""
     plan = QUERIES["topic_continuations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "document_id" in plan
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_traversal_gathers_no_edges_of_the_last_hop(spark, monkeypatch, hops):
+    """A query gathered the edges of all nodes within its hops, some twenty times those that its walk can follow."""
+    draw = random.Random(hops)
+    rows = [(draw.randrange(40), i % 5, draw.randrange(60)) for i in range(150)]
+    seeds = [(q, p, draw.randrange(40)) for q in range(6) for p in range(3)]
+    asked, reach = [], graph.reachable
+    monkeypatch.setattr(graph, "reachable", lambda e, s, n, *a: asked.append(n) or reach(e, s, n, *a))
+    edges, starts = spark.createDataFrame(rows, "source long, idx int, target long"), spark.createDataFrame(seeds, "query_id long, position int, node long")
+    got = sorted(tuple(r) for r in graph.traverse(edges, starts, hops).collect())
+    want = []
+
+    def walk(query, node, depth, visited):
+        for _, target in sorted((i, t) for s, i, t in rows if s == node):
+            if target not in visited:
+                visited.add(target)
+                want.append((query, target, node, depth + 1))
+                if depth + 1 < hops:
+                    walk(query, target, depth + 1, visited)
+
+    for query in range(6):
+        visited: set[int] = set()
+        for _, node in sorted((p, n) for q, p, n in seeds if q == query):
+            if node not in visited:
+                visited.add(node)
+                walk(query, node, 0, visited)
+    assert got == sorted(want) and max(asked) == hops - 1
