@@ -156,3 +156,16 @@ def test_traversal_gathers_no_edges_of_the_last_hop(spark, monkeypatch, hops):
                 visited.add(node)
                 walk(query, node, 0, visited)
     assert got == sorted(want) and max(asked) == hops - 1
+
+
+def test_a_way_is_asked_once_for_all_targets_that_enter_it(spark, monkeypatch):
+    """All that a target reaches was listed for every target (here 40 x 6 nodes), whatever source it was asked for."""
+    held, keep = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: held.setdefault(label, []).append(keep(df, label)) or held[label][-1])
+    chain = [(f"m{i}", "depends_on", f"m{i + 1}") for i in range(6)] + [("s", "depends_on", "m0"), ("m6", "depends_on", "end")]
+    edges = chain + [(f"t{i:02}", "depends_on", "m0") for i in range(40)]
+    asked = [("end", "depends_on", f"t{i:02}") for i in range(40)] + [("m3", "depends_on", "t00"), ("t01", "depends_on", "t00"), ("m0", "depends_on", "m4"), ("m6", "depends_on", "m2"), ("x", "depends_on", "x")]
+    names = "source string, relation string, target string"
+    got = {(r.source, r.target) for r in graph.leads_back(spark.createDataFrame(asked, names), spark.createDataFrame(edges, names)).collect()}
+    assert got == {("end", f"t{i:02}") for i in range(40)} | {("m3", "t00"), ("m6", "m2"), ("x", "x")}
+    assert held["begun"][0].count() <= len(asked)
