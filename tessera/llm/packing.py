@@ -27,12 +27,14 @@ Repeated rows are separate documents. Extra columns in ``keep`` pass through;
 from __future__ import annotations
 
 import bisect
+import codecs
 import functools
 import itertools
 import random
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES, JOINED_BLOCKS = 4000, 8
@@ -56,11 +61,16 @@ _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 #: The tokenizer's own pre-tokens (fixed values) where all characters are Latin-1 and in lower case.
 _LETTER, _NUMERAL = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SYMBOL = r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
-_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMERAL}]|[{_SYMBOL}]+")
+_PRE_TOKEN = re.compile(f"[{_LETTER}]+|[{_NUMERAL}]|'(?:s|t|re|ve|m|ll|d)|[{_SYMBOL}]+")
+#: The tokenizer's own letter of each byte (fixed values): printable ones are themselves, the others follow from 256 on; a space stays.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+_LETTER_OF = {**{b: chr(b) for b in _PLAIN}, **{b: chr(256 + i) for i, b in enumerate(_OTHER)}, 32: " "}
+_LETTERS = "".join(_LETTER_OF[b] for b in range(256))
 #: Words in each of the two generations of a Python worker's store, some 150 bytes each.
 MOST_STORED = 250_000
 #: Characters of text whose new words are encoded at once.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 Bins = list[list[int]]
 
@@ -71,12 +81,17 @@ class WordIds:
     New words are encoded many at a time, as one text. Of a pre-token's ids the
     last, and no other, ends a word. When the younger generation is full it
     becomes the older one, and words met again move over, so frequent words stay.
+    Latin-1 pre-tokens are in the tokenizer's normal form and need no second split,
+    so ``plain``, which has its model alone, gets their bytes as its letters.
     """
 
     def __init__(self, path: str, most: int = MOST_STORED) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -85,14 +100,18 @@ class WordIds:
         self.most = most
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return self._ids(self.tokenizer, text)
+
+    @staticmethod
+    def _ids(tokenizer: Tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all ``words`` in the younger generation."""
         new = words.difference(self.young)
         if len(self.young) + len(new) > self.most:
             self.old, self.young, new = self.young, {}, words
-        again = new.intersection(self.old)
+        again = [w for w in new if w in self.old]  # a set's intersection would walk through all that is stored
         self.young.update((w, self.old[w]) for w in again)
         single = []
         for w in new.difference(again):
@@ -102,7 +121,7 @@ class WordIds:
                 self.young[w] = self.encode(w).tobytes()
         for at in range(0, len(single), 20_000):
             part = single[at : at + 20_000]
-            ids = self.encode(" ".join(part))
+            ids = self._ids(self.plain, codecs.charmap_decode(" ".join(part).encode(), "strict", _LETTERS)[0])
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not mark word ends")

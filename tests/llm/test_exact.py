@@ -389,3 +389,20 @@ def test_rendering(spark):
     got = chat_format.render_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert got.chat == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>\n<|user|>\n\n<|end|>\n"
     assert chat_format.render_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_latin_words_need_the_model_alone(monkeypatch):
+    """Pre-tokens went through the tokenizer's normal form and split a second time."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    draw, letters = random.Random(2), [chr(c) for c in range(256)]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(500)] + ["it's 'T x'll '' 'sa don't", "ÀÉß ªº µ ÿ \xad\x85\xa0 a\x1cb"]
+    store, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "_word_ids", lambda _: store)
+    monkeypatch.setattr(store, "encode", None)
+    for t, held in zip(texts, packing.token_bytes(texts, path), strict=True):
+        assert np.frombuffer(held, dtype="<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID]
