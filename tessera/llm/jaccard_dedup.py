@@ -1,19 +1,22 @@
 """Near duplicates by the exact Jaccard similarity of five-word shingles.
 
 Rows with one set of shingles are a class and count once, so a hot group of
-copies costs one row. A class has ``BANDS`` keys of ``ROWS`` minimum hashes each;
-classes that share a key are candidates, and a pair is linked only if the
-similarity of its whole sets is ``LEAST`` or more. A pair at 0.8 shares no key
-with probability (1 - 0.8 ** 6) ** 32 = 6e-5, a more similar one less often.
-
-Candidates are tested in rounds. First every member of a bucket against its
-smallest row, which joins most of a hot group of near copies without comparing
-all its pairs. While the pairs of a bucket that lie in different components are
-many more than its members, and halve at least, further rounds test the members
-against ``CENTRES`` others each. Of the rows that share a bucket with another
-component, ``prefix_pairs`` then gives all pairs that can still be similar, by an
-exact bound. Pairs within a component need no test, so nothing is left out.
-Components are joined by ``simhash_dedup.components``.
+copies costs one row. Candidates come from meet-in-the-middle ball hashing of
+``TABLES`` fingerprints a class: a bit of a fingerprint is a bit of the hash of
+another minimum hash, so in each of its ``BITS`` bits two classes of similarity s
+differ with probability (1 - s) / 2. Fingerprints within 4 bits have a
+common variant within 2 bits of each; as in ``simhash_dedup`` the variants are
+dealt by their first bits and written out in their bucket. Candidates are linked
+only if the similarity of their whole sets is ``LEAST`` or more. A pair at 0.8 is
+within 4 bits in no table with probability 5e-5, a more similar one less often.
+
+Where at most ``FEW`` rows share a variant all their pairs are tested. Where more
+do, as in a hot group of near copies, each is tested against one of them, and this
+is repeated with others while the rows that share such a variant with another
+component become half as many at least. Of the rows that are left ``prefix_pairs``
+gives all pairs that can still be similar, by an exact bound. Pairs within a
+component need no test, so nothing is left out. Components are joined by
+``simhash_dedup.components``.
 
 Cases: texts of fewer than five words are one shingle; a null text has no words,
 and all texts without words are copies of each other. Rows, not ids, are nodes:
@@ -33,21 +36,26 @@ from xxhash import xxh3_128_digest
 
 from tessera.llm._hashing import mixed
 from tessera.llm._shared import written
-from tessera.llm.simhash_dedup import components, shingle_hashes
+from tessera.llm.simhash_dedup import HALF, components, masks, n_masks, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: The least similarity of near duplicates, as a fraction of whole numbers.
 LEAST = (4, 5)
-BANDS, ROWS = 32, 6
+TABLES, BITS = 10, 40
 #: Sets of fewer shingles reach the least similarity only if they are equal.
 LEAST_SHINGLES = 4
-#: Rows of a bucket that a further round compares with all others, and the pairs a member above which it takes place.
-CENTRES, MOST_PAIRS = 4, 2
+#: Rows that share a variant and are all compared with each other.
+FEW = 8
+#: Rows dealt to a bucket, about, and variants that it writes out at once.
+BUCKET_ROWS, MOST_VARIANTS = 1 << 21, 1 << 22
+LEAST_BITS, MOST_BITS = 4, 20
+#: Where an entry keeps the bits that it may still change and the size of its set.
+BUDGET_AT, SIZE_AT = BITS - 2, BITS
+MOST_SIZE = (1 << 22) - 1
 BLOCK = 4096
 _rng = np.random.default_rng(5)
-_ORDERS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_PLACES = _rng.integers(0, 1 << 64, ROWS, dtype=np.uint64) | np.uint64(1)
-_OF_BAND = _rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+_ORDERS = _rng.integers(0, 1 << 32, TABLES * BITS, dtype=np.uint32) | np.uint32(1)
+_PLACES = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -55,12 +63,13 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE_WORDS))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key a band; equal bands of minimum hashes have equal keys."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), BLOCK):
-        np.minimum(least, (_ORDERS[:, None] * shingles[None, at : at + BLOCK]).min(axis=1), out=least)
-    return mixed((mixed(least).reshape(BANDS, ROWS) * _PLACES).sum(axis=1, dtype=np.uint64) ^ _OF_BAND)
+def fingerprints_of(shingles: np.ndarray) -> np.ndarray:
+    """``TABLES`` fingerprints of ``BITS`` bits, each bit from another minimum hash."""
+    least, short = np.full(TABLES * BITS, np.iinfo(np.uint32).max, dtype=np.uint32), shingles.astype(np.uint32)
+    for at in range(0, len(short), BLOCK):
+        np.minimum(least, (_ORDERS[:, None] * short[None, at : at + BLOCK]).min(axis=1), out=least)
+    bits = (mixed(least.astype(np.uint64)) >> np.uint64(20)) & np.uint64(1)
+    return (bits.reshape(TABLES, BITS) * _PLACES).sum(axis=1, dtype=np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -74,21 +83,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """doc_id, _row, size and digest of the shingle set and its band keys, for every row of (doc_id, _row, text)."""
+    """doc_id, _row, size and digest of the shingle set and its fingerprints, for every row of (doc_id, _row, text)."""
     doc_id = rows.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, bands = [], [], []
+            size, digest, fps = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text)
                 size.append(len(shingles))
                 digest.append(xxh3_128_digest(shingles.tobytes()))
-                bands.append(band_keys(shingles).view(np.int64) if len(shingles) >= LEAST_SHINGLES else np.zeros(0, np.int64))
-            columns = [batch.column("doc_id"), batch.column("_row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "size", "digest", "bands"])
+                fps.append(fingerprints_of(shingles).view(np.int64) if len(shingles) >= LEAST_SHINGLES else np.zeros(0, np.int64))
+            columns = [batch.column("doc_id"), batch.column("_row"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "size", "digest", "fps"])
 
-    return rows.select("doc_id", "_row", "text").mapInArrow(sketch, f"doc_id {doc_id}, _row long, size long, digest binary, bands array<long>")
+    return rows.select("doc_id", "_row", "text").mapInArrow(sketch, f"doc_id {doc_id}, _row long, size long, digest binary, fps array<long>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -122,10 +131,137 @@ def _near(x: Column, y: Column) -> Column:
     return LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """The distinct pairs (a < b) of (_row, size, b, _size) whose sizes allow it."""
-    fit = met.filter((F.col("_row") != F.col("b")) & _near(F.col("size"), F.col("_size")))
-    return fit.select(F.least("_row", "b").alias("a"), F.greatest("_row", "b").alias("b")).distinct()
+def prefix_bits(n: int) -> int:
+    """Leading bits by which the variants of ``n`` rows are dealt, so that a bucket gets some ``BUCKET_ROWS`` at most."""
+    fits = (k for k in range(LEAST_BITS, MOST_BITS) if n * n_masks(k, HALF) <= BUCKET_ROWS << k)
+    return next(fits, MOST_BITS)
+
+
+def shared_variants(values: np.ndarray, left: np.ndarray, bits: int, source: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(source, group) of the variants that two or more of the distinct ``values`` share, a group a variant.
+
+    A value stands for its variants that change at most ``left`` of the lowest
+    ``bits`` bits. More than ``MOST_VARIANTS`` are taken in two parts by the highest
+    of these bits, one after the other.
+    """
+    source = np.arange(len(values)) if source is None else source
+    if len(values) < 2:
+        return
+    if np.array([n_masks(bits, w) for w in range(HALF + 1)])[left].sum() > MOST_VARIANTS and bits > 1:
+        top = np.uint64(1) << np.uint64(bits - 1)
+        has = (values & top) != 0
+        for wanted in (False, True):
+            same, turned = has == wanted, (has != wanted) & (left > 0)
+            yield from shared_variants(
+                np.concatenate((values[same], values[turned] ^ top)), np.concatenate((left[same], left[turned] - 1)), bits - 1, np.concatenate((source[same], source[turned]))
+            )
+        return
+    width = np.uint64(int(source.max()).bit_length())
+    variants = []
+    for w in range(HALF + 1):
+        of = left == w
+        if of.any():
+            variants.append((((values[of][:, None] ^ masks(bits, w)[None, :]) << width) | source[of].astype(np.uint64)[:, None]).ravel())
+    found = np.sort(np.concatenate(variants))  # the variant above, its source below
+    variants = found >> width
+    same = variants[1:] == variants[:-1]
+    if same.any():
+        member = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        value = variants[member]
+        yield (found[member] & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), np.cumsum(np.diff(value, prepend=value[0]) != 0)
+
+
+def _met(row: np.ndarray, root: np.ndarray | None, entry: np.ndarray, low: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's entries: the pairs of rows to test, and the rows of crowded variants.
+
+    Without roots these are all pairs of the variants that few rows share, and those
+    of each row of a crowded variant with its first one, in an order that changes with
+    ``turn``. With roots, only crowded variants that hold several roots count.
+    """
+    place = mixed(row.view(np.uint64) * np.uint64(2 * turn + 1) + np.uint64(turn))
+    key = entry & ((1 << SIZE_AT) - 1)
+    order = np.lexsort((place, key))
+    row, key, place, size = row[order], key[order], place[order], entry[order] >> SIZE_AT
+    start = np.flatnonzero(np.diff(key, prepend=-1))  # a fingerprint's rows, the first one in order ahead
+    count = np.diff(np.append(start, len(key)))
+    of = np.repeat(np.arange(len(start)), count)
+    node = np.arange(len(start)) if root is None else root[order]
+    least, most = (node, node) if root is None else (np.minimum.reduceat(node, start), np.maximum.reduceat(node, start))
+    ranking = np.argsort(place[start])
+    rank = np.empty_like(ranking)
+    rank[ranking] = np.arange(len(ranking))
+
+    crowd = (count > FEW) & ((least < most) if root is not None else True)
+    star = [(np.flatnonzero(crowd), np.flatnonzero(crowd))]
+    near = []
+    n = len(start)
+    for who, group in shared_variants((key[start] & ((1 << low) - 1)).view(np.uint64), key[start] >> BUDGET_AT, low):
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        crowded = np.add.reduceat(count[who], first) > FEW
+        if root is None:
+            pair = []
+            for d in range(1, FEW):
+                meets = (group[d:] == group[:-d]) & ~crowded[group[d:]]
+                if not meets.any():
+                    break
+                pair.append(who[:-d][meets] * n + who[d:][meets])
+            near.append(np.unique(np.concatenate(pair)) if pair else np.zeros(0, np.int64))
+        else:
+            crowded &= np.minimum.reduceat(least[who], first) < np.maximum.reduceat(most[who], first)
+        if crowded.any():
+            centre = np.repeat(ranking[np.minimum.reduceat(rank[who], first)], np.diff(np.append(first, len(who))))
+            held = np.unique(who[crowded[group]] * n + centre[crowded[group]])
+            star.append((held // n, held % n))
+    near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+    i, j = np.concatenate([x[0] for x in star]), np.concatenate([x[1] for x in star])
+    own = np.concatenate([np.flatnonzero(of[d:] == of[:-d]) + d for d in range(1, FEW)]) if root is None else np.zeros(0, np.int64)
+    back = np.concatenate([np.full(int((of[d:] == of[:-d]).sum()), d) for d in range(1, FEW)]) if root is None else np.zeros(0, np.int64)
+    few = count[of[own]] <= FEW
+
+    def crossed(i: np.ndarray, j: np.ndarray, of_j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of fingerprints i with the first ``of_j`` rows of j."""
+        both = count[i] * of_j
+        at = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+        of_j = np.repeat(of_j, both)
+        return np.repeat(start[i], both) + at // of_j, np.repeat(start[j], both) + at % of_j
+
+    ends = [crossed(near // n, near % n, count[near % n]), crossed(i, j, np.ones(len(j), dtype=np.int64)), (own[few], (own - back)[few])]
+    a, b = np.concatenate([x[0] for x in ends]), np.concatenate([x[1] for x in ends])
+    fit = (a != b) & (LEAST[1] * np.minimum(size[a], size[b]) >= LEAST[0] * np.maximum(size[a], size[b]))
+    if root is not None:
+        fit &= node[a] != node[b]
+    a, b = a[fit], b[fit]
+    crowd = np.unique(i)
+    return np.minimum(row[a], row[b]), np.maximum(row[a], row[b]), row[np.isin(of, crowd)]
+
+
+def meetings(rows: DataFrame, bits: int, turn: int = 0) -> DataFrame:
+    """Pairs (a < b) of rows of (_row, size, fps and, later, root) to test, and the rows a of crowded variants, where b is null."""
+    low, rooted = BITS - bits, "root" in rows.columns
+    patterns = {w: np.setdiff1d(masks(bits, w), masks(bits, w - 1) if w else np.zeros(0, np.uint64)) for w in range(HALF + 1)}
+    names = ["bucket", "_row", *(["root"] if rooted else []), "entry"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                fps = batch.column("fps").flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+                size = np.minimum(batch.column("size").to_numpy(), MOST_SIZE) << SIZE_AT
+                kept = (fps & np.uint64((1 << low) - 1)).view(np.int64) | size[:, None]
+                prefix = (fps >> np.uint64(low)) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(bits))
+                for w, m in patterns.items():
+                    bucket = (prefix[:, :, None] ^ m).ravel().astype(np.int32)
+                    each = [np.repeat(batch.column(c).to_numpy(), TABLES * len(m)) for c in names[1:-1]]
+                    entry = np.repeat((kept | (HALF - w << BUDGET_AT)).ravel(), len(m))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *each, entry)], names=names)
+
+    def meet(table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy() if rooted else None
+        a, b, crowded = _met(table.column("_row").to_numpy(), root, table.column("entry").to_numpy(), low, turn)
+        return pa.table({"a": np.concatenate((a, crowded)), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(crowded), pa.int64())])})
+
+    kinds = "bucket int, _row long, root long, entry long" if rooted else "bucket int, _row long, entry long"
+    dealt = rows.select("_row", "size", "fps", *(["root"] if rooted else [])).mapInArrow(deal, kinds)
+    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,14 +301,10 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select(F.least("_row", "__row").alias("a"), F.greatest("_row", "__row").alias("b")).distinct()
 
 
-def _unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """The members, with their roots, of buckets that hold several components, and how many pairs lie across components."""
-    rooted = components(links)
-    named = members.join(rooted, F.col("_row") == F.col("node"), "left").select("band", "_row", "size", F.coalesce("root", "_row").alias("root"))
-    split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    rest = written(named.join(split, "band", "left_semi"), "members")
-    held = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return rest, held.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the root of each one's component."""
+    root = components(links)
+    return rows.select("_row", "size", "fps").join(root, F.col("_row") == F.col("node"), "left").select("_row", "size", "fps", F.coalesce("root", "_row").alias("root"))
 
 
 def surplus_rows(rows: DataFrame) -> DataFrame:
@@ -183,29 +315,31 @@ def surplus_rows(rows: DataFrame) -> DataFrame:
     sketched = written(sketches(rows), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     classes = written(sketched.groupBy("digest").agg(F.min(first).alias("least")).select("least", F.col("least._row").alias("_row")), "classes")
-    banded = sketched.filter(F.size("bands") > 0).join(classes.select("_row"), "_row", "left_semi").select("_row", "size", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min(F.struct("_row", "size")).alias("centre"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    members = written(banded.join(buckets.select("band", "centre"), "band"), "members")
-    sets = written(shingle_sets(rows.join(members.select("_row").distinct(), "_row", "left_semi")), "shingles")
-
-    starred = members.select("_row", "size", F.col("centre._row").alias("b"), F.col("centre.size").alias("_size"))
-    tested = written(_candidates(starred), "pairs")
+    nodes = sketched.filter(F.size("fps") > 0).join(classes.select("_row"), "_row", "left_semi").select("_row", "size", "fps")
+    bits = prefix_bits(classes.count())
+    met = written(meetings(nodes, bits), "met")
+    crowded = met.filter("b is null").select(F.col("a").alias("_row"))
+    tested = met.filter("b is not null")
+    involved = tested.select(F.col("a").alias("_row")).union(tested.select("b")).union(crowded).distinct()
+    sets = written(shingle_sets(rows.join(involved, "_row", "left_semi")), "shingles")
     links = written(similar_pairs(tested, sets), "links")
-    rest, left = _unsettled(members.select("band", "_row", "size"), links)
-    turn = 0
-    while left > MOST_PAIRS * rest.count():
-        picked = [F.min(F.struct(F.xxhash64("_row", F.lit(turn * CENTRES + i)).alias("_at"), F.col("_row").alias("b"), F.col("size").alias("_size"), F.col("root").alias("_root"))) for i in range(CENTRES)]
-        centres = rest.groupBy("band").agg(F.array_distinct(F.array(*picked)).alias("centres"))
-        starred = rest.join(centres, "band").select("_row", "size", "root", F.explode("centres").alias("c")).select("_row", "size", "root", "c.b", "c._size", "c._root")
-        pairs = written(_candidates(starred.filter("root != _root")).join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    rest = written(nodes.join(crowded, "_row", "left_semi"), "members")
+    left, turn = rest.count(), 0
+    while left:
+        turn += 1
+        rest = written(_rooted(rest, links), "members")
+        met = written(meetings(rest, bits, turn), "met")
+        pairs = written(met.filter("b is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(written(similar_pairs(pairs, sets), "links"))
-        before, turn = left, turn + 1
-        rest, left = _unsettled(rest.select("band", "_row", "size"), links)
-        if 2 * left > before:
+        rest = rest.join(met.filter("b is null").select(F.col("a").alias("_row")), "_row", "left_semi")
+        before, left = left, rest.count()
+        if left and 2 * left > before:
+            found = prefix_pairs(_rooted(rest, links).select("_row", "size", "root"), sets)
+            pairs = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = links.unionByName(written(similar_pairs(pairs, sets), "links"))
             break
-    pairs = written(prefix_pairs(rest.select("_row", "size", "root").distinct(), sets).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(written(similar_pairs(pairs, sets), "links"))
 
     rooted = components(links)
     owned = classes.join(rooted, F.col("_row") == F.col("node"), "left").select("least", F.coalesce("root", "_row").alias("root"))

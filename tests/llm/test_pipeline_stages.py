@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tessera.llm import toxicity
-from tessera.llm.jaccard_dedup import prefix_pairs, similar
+from tessera.llm.jaccard_dedup import BITS, FEW, TABLES, meetings, prefix_pairs, similar
 
 DOC = "doc_id long, text string, source string"
 
@@ -158,3 +158,65 @@ def test_prefix_pairs_hold_every_similar_pair_of_unlike_roots(spark):
     apart = [(x, y) for x in held for y in held if x[0] < y[0] and x[0] % 7 != y[0] % 7]
     assert {(x[0], y[0]) for x, y in apart if similar(x[1], y[1])} <= found
     assert len(found) < len(apart) / 2
+
+
+def ball_rows(rng, crowd):
+    """Fingerprints of rows that differ in 0 to 8 bits in one table or another, some of them many from one."""
+    fps = []
+    for k in range(60):
+        base = rng.integers(0, 1 << BITS, TABLES)
+        for _ in range(crowd if k == 7 else 2):
+            turned = np.array([sum(1 << int(i) for i in rng.choice(BITS, rng.integers(0, 5), replace=False)) for _ in range(TABLES)])
+            fps.append((base ^ turned if rng.random() < 0.5 else np.where(np.arange(TABLES) == k % TABLES, base ^ turned, rng.integers(0, 1 << BITS, TABLES))).tolist())
+    return fps
+
+
+def met_and_crowded(spark, fps, sizes, roots=None, turn=0, bits=4):
+    rows = [(1000 + i, z, f, *([roots[i]] if roots else [])) for i, (z, f) in enumerate(zip(sizes, fps, strict=True))]
+    met = meetings(spark.createDataFrame(rows, "_row long, size long, fps array<long>" + (", root long" if roots else "")), bits, turn).collect()
+    return {(r.a - 1000, r.b - 1000) for r in met if r.b is not None}, {r.a - 1000 for r in met if r.b is None}
+
+
+def test_balls_meet_where_fingerprints_are_within_four_bits(spark):
+    """All pairs within 4 bits in some table, and no others, by whatever bits they are dealt."""
+    rng = np.random.default_rng(1)
+    fps = ball_rows(rng, 3)
+    fps += [fps[0], fps[0]]
+    sizes = [100 if i % 9 else 126 for i in range(len(fps))]
+    within = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(fps[a], fps[b], strict=True))
+    near = {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if within(a, b)}
+    want = {(a, b) for a, b in near if sizes[a] == sizes[b]}
+    assert 30 < len(want) < len(near)
+    for bits in (4, 7):
+        assert met_and_crowded(spark, fps, sizes, bits=bits) == (want, set())
+
+
+def test_no_pair_of_a_crowd_is_lost(spark):
+    """A pair within 4 bits is met, or both its rows come back as rows of a crowd while their roots differ."""
+    fps = ball_rows(np.random.default_rng(2), 60)
+    fps += [fps[14]] * (FEW + 4)
+    within = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(fps[a], fps[b], strict=True))
+    near = {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if within(a, b)}
+    met, crowded = met_and_crowded(spark, fps, [50] * len(fps))
+    assert met < near and len(crowded) > 20
+    assert all({a, b} <= crowded for a, b in near - met)
+    roots = [1000 + i % 2 for i in range(len(fps))]
+    again, still = met_and_crowded(spark, fps, [50] * len(fps), roots, 1)
+    assert again <= near and all((a - b) % 2 for a, b in again)
+    assert all({a, b} <= still for a, b in near - met - again if (a - b) % 2)
+    assert met_and_crowded(spark, fps, [50] * len(fps), [1000] * len(fps), 1) == (set(), set())
+
+
+def test_a_hot_group_of_near_copies_goes_as_all_pairs_say(spark, sf_dir):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(70):
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice((0, 1, 1, 2))):
+            copy[at] = rng.choice("xyz")
+        texts.append(" ".join(copy))
+    root = groups(texts)
+    want = sorted(((min(i for i, q in enumerate(root) if q == r), r) for r in set(root)), key=repr)
+    assert 1 < len(want) < 60
+    assert stage_rows(spark, pipeline.drop_near_duplicates, enumerate(texts), sf_dir) == sorted(((i, texts[i]) for i, _ in want), key=repr)
