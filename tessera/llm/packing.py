@@ -1,10 +1,10 @@
 """Packing of tokenised documents into sequences by a grouping genetic algorithm.
 
 Documents become pieces of at most ``capacity`` tokens; only longer documents
-are cut. Pieces are dealt to blocks of some ``BLOCK_PIECES``, and several islands
-evolve packings of each block, from best-fit packings on, until one has as few
-bins as the total length allows or the generations are used up. A packing is a
-set of bins. Crossover injects whole well-filled bins of one parent into the
+are cut. Pieces are dealt to blocks of some ``BLOCK_PIECES``, which are best-fitted
+once. Where that takes more bins than the total length needs, several islands
+evolve packings of the block, from best-fit packings on, until one has as few
+bins or the generations are used up. A packing is a set of bins. Crossover injects whole well-filled bins of one parent into the
 other and removes the bins that hold a piece twice; mutation empties the worst
 bins and some others. The displaced pieces are first exchanged for one or two
 pieces of a bin that they fill better, then best-fitted, longest first. Fewer
@@ -62,6 +62,12 @@ _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 _LETTER, _NUMERAL = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SYMBOL = r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
 _PRE_TOKEN = re.compile(f"[{_LETTER}]+|[{_NUMERAL}]|'(?:s|t|re|ve|m|ll|d)|[{_SYMBOL}]+")
+#: Of each Latin-1 character: L is a letter, N a numeral, which is a pre-token alone, S a symbol, W white space; Q where only the pattern will do.
+_KINDS = bytes(
+    ord("Q" if c in _ODD_SPACE or c == "'" else next((k for k, of in (("L", _LETTER), ("N", _NUMERAL), ("S", _SYMBOL)) if re.match(f"[{of}]", c.lower())), "W"))
+    for c in map(chr, range(256))
+)
+_NOT_ALONE = bytes(i for i in range(256) if _KINDS[i] not in b"NS")
 #: The tokenizer's own letter of each byte (fixed values): printable ones are themselves, the others follow from 256 on; a space stays.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _PLAIN]
@@ -106,27 +112,30 @@ class WordIds:
     def _ids(tokenizer: Tokenizer, text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, words: set[str]) -> None:
-        """Have the ids of all ``words`` in the younger generation."""
-        new = words.difference(self.young)
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Have the ids of all ``words`` in the younger generation; also in a dictionary of their own, which is small and so is faster to look up in."""
+        held = dict(zip(words, map(self.young.get, words), strict=True))
+        new = {w for w, ids in held.items() if ids is None}
         if len(self.young) + len(new) > self.most:
-            self.old, self.young, new = self.young, {}, words
-        again = [w for w in new if w in self.old]  # a set's intersection would walk through all that is stored
-        self.young.update((w, self.old[w]) for w in again)
+            self.old, self.young = self.young, {w: ids for w, ids in held.items() if ids is not None}
+        found = {w: self.old[w] for w in new if w in self.old}  # a set's intersection would walk through all that is stored
         single = []
-        for w in new.difference(again):
+        for w in new.difference(found):
             if _PRE_TOKEN.fullmatch(w):
                 single.append(w)
             else:
-                self.young[w] = self.encode(w).tobytes()
+                found[w] = self.encode(w).tobytes()
         for at in range(0, len(single), 20_000):
             part = single[at : at + 20_000]
             ids = self._ids(self.plain, codecs.charmap_decode(" ".join(part).encode(), "strict", _LETTERS)[0])
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not mark word ends")
-            held, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.young.update(zip(part, (held[a:b] for a, b in itertools.pairwise(bounds)), strict=True))
+            joined, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            found.update(zip(part, (joined[a:b] for a, b in itertools.pairwise(bounds)), strict=True))
+        self.young.update(found)
+        held.update(found)
+        return held
 
 
 @functools.cache
@@ -145,10 +154,15 @@ def _words(text: str) -> list[str] | None:
     if "<|" in text:  # the vocabulary's special tokens begin so
         return None
     try:
-        text.encode("latin-1")
+        plain = text.encode("latin-1")
     except UnicodeEncodeError:
         return text.split() if _ODD_SPACE.isdisjoint(text) else None
-    return _PRE_TOKEN.findall(text.lower())
+    kinds, lower = plain.translate(_KINDS), text.lower()
+    if b"Q" in kinds or b"SS" in kinds:
+        return _PRE_TOKEN.findall(lower)
+    for c in map(chr, set(plain.translate(None, _NOT_ALONE))):  # white space sets off what stands alone
+        lower = lower.replace(c, f" {c} ")
+    return lower.split()
 
 
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
@@ -161,9 +175,9 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
             continue
         part = texts[at : i + 1]
         split = [_words(t) if t else [] for t in part]
-        store.learn(set().union(*(ws for ws in split if ws)))
+        held = store.learn(set().union(*(ws for ws in split if ws)))
         for t, ws in zip(part, split, strict=True):
-            yield (store.encode(t).tobytes() if ws is None else b"".join(map(store.young.__getitem__, ws))) + end
+            yield (store.encode(t).tobytes() if ws is None else b"".join(map(held.__getitem__, ws))) + end
         at, size = i + 1, 0
 
 
@@ -223,6 +237,10 @@ class Packer:
     def longest_first(self, pieces: list[int], noise: float = 0.0) -> list[int]:
         return sorted(pieces, key=lambda i: (-self.lengths[i] * (1 + noise * self.rng.random()), i))
 
+    def least(self) -> int:
+        """Bins that the total length needs; no packing has fewer."""
+        return -(-sum(self.lengths) // self.capacity)
+
     def fitness(self, bins: Bins) -> tuple[int, int]:
         return -len(bins), sum(self.fill(b) ** 2 for b in bins)
 
@@ -291,8 +309,7 @@ class Packer:
     def evolve(self, population: list[Bins], generations: int = GENERATIONS, size: int = POPULATION) -> Bins:
         """The best packing after some generations, beginning with ``population`` and some greedy packings."""
         everything = list(range(len(self.lengths)))
-        least = -(-sum(self.lengths) // self.capacity)
-        population = list(population)
+        least, population = self.least(), list(population)
         while len(population) < size and not any(len(b) <= least for b in population):
             population.append(self.best_fit([], self.longest_first(everything, noise=0.3 * bool(population))))
         ranked = sorted(((self.fitness(b), -k, b) for k, b in enumerate(population)), key=lambda x: x[:2], reverse=True)
@@ -347,6 +364,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = held.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).alias("_block"))
     group = "_block long, _island int, _origin int, _row long, length long, _bin long"
 
+    def fitted(key: tuple, table: pa.Table) -> pa.Table:
+        """A best-fit packing of a block, and whether it is done, as no packing has fewer bins."""
+        ids, lengths = table.column("_row").to_numpy(), table.column("length").to_numpy()
+        order = np.argsort(ids)
+        ids, lengths = ids[order], lengths[order]
+        packer = Packer(lengths.tolist(), capacity, 0)
+        packing = packer.best_fit([], packer.longest_first(list(range(len(ids)))))
+        at, bins = _flat(packing)
+        done = np.full(len(at), len(packing) <= packer.least())
+        return pa.table({"_block": np.full(len(at), key[0].as_py()), "_done": done, "_row": ids[at], "length": lengths[at], "_bin": bins.astype(np.int64)})
+
     def evolve(key: tuple, table: pa.Table) -> pa.Table:
         block, island = key[0].as_py(), key[1].as_py()
         ids, lengths, found = _populations(table)
@@ -358,13 +386,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             "_row": ids[at], "length": np.array(lengths, dtype=np.int64)[at], "_bin": bins.astype(np.int64),
         })
 
-    state = rows.withColumn("_island", F.explode(F.array(*map(F.lit, range(ISLANDS)))))
-    state = state.withColumn("_origin", F.col("_island")).withColumn("_bin", F.lit(-1).cast("long"))
+    first = written(rows.groupBy("_block").applyInArrow(fitted, "_block long, _done boolean, _row long, length long, _bin long"), "fitted")
+    state = first.filter("not _done").withColumn("_island", F.explode(F.array(*map(F.lit, range(ISLANDS))))).withColumn("_origin", F.col("_island"))
     for epoch in range(EPOCHS):
         if epoch:  # each elite goes to its own island and to the next one
             to = F.explode(F.array(F.col("_origin"), F.pmod(F.col("_origin") + 1, F.lit(ISLANDS))))
             state = state.withColumn("_island", to)
-        state = state.groupBy("_block", "_island").applyInArrow(evolve, group)
+        state = state.select(*(c.split()[0] for c in group.split(", "))).groupBy("_block", "_island").applyInArrow(evolve, group)
+    done = first.filter("_done").select("_block", F.lit(0).alias("_island"), F.lit(0).alias("_origin"), "_row", "length", "_bin")
+    state = state.unionByName(done)
 
     placed = "_row long, length long, _group long, sequence_id long, offset long"
 

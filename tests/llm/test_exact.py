@@ -406,3 +406,21 @@ def test_latin_words_need_the_model_alone(monkeypatch):
     monkeypatch.setattr(store, "encode", None)
     for t, held in zip(texts, packing.token_bytes(texts, path), strict=True):
         assert np.frombuffer(held, dtype="<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_learnt_words_come_in_a_dictionary_of_their_own():
+    """Also where the store's generations change, and whether a word is new, young or old."""
+    store = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), most=40)
+    rng = random.Random(6)
+    for _ in range(12):
+        words = {f"{rng.choice('abé')}{'x' * rng.randint(0, 20)}" for _ in range(15)}
+        held = store.learn(words)
+        assert held.keys() == words and all(held[w] == store.young[w] for w in words)
+    assert all(held[w] + bytes(4) == brute_pieces(w) for w in sorted(words)[:3])
+
+
+def test_plain_texts_split_as_the_pattern_says():
+    rng = random.Random(7)
+    odd = "aB\xdf\xe9\xd7\xc9 \t\x85\xa0\x1c1\xb2'.,-\"\x00\xaa\n"
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 12))) for _ in range(3000)] + [chr(a) + chr(b) for a in range(256) for b in range(256)]
+    assert all(packing._words(t) == packing._PRE_TOKEN.findall(t.lower()) for t in texts)
