@@ -10,12 +10,13 @@ dealt by their first bits and written out in their bucket. Candidates are linked
 only if the similarity of their whole sets is ``LEAST`` or more. A pair at 0.8 is
 within 4 bits in no table with probability 5e-5, a more similar one less often.
 
-Where at most ``FEW`` rows share a variant all their pairs are tested. Where more
-do, as in a hot group of near copies, each is tested against one of them, and this
-is repeated with others while the rows that share such a variant with another
-component become half as many at least. Of the rows that are left ``prefix_pairs``
-gives all pairs that can still be similar, by an exact bound. Pairs within a
-component need no test, so nothing is left out. Components are joined by
+A row that meets at most ``FEW`` others in a bucket is tested against all of them.
+The others, and those whom they meet, are a crowd, as in a hot group of near copies:
+each is tested against one row a table, and this is repeated, against other rows of
+other components, while each turn takes away some of the crowd's components. So the
+tests grow with the rows of a crowd, not with their pairs. Of the rows that are left
+``prefix_pairs`` gives all pairs that can still be similar, by exact bounds. Pairs
+within a component need no test, so nothing is left out. Components are joined by
 ``simhash_dedup.components``.
 
 Cases: texts of fewer than five words are one shingle; a null text has no words,
@@ -52,7 +53,13 @@ LEAST_BITS, MOST_BITS = 4, 20
 #: Where an entry keeps the bits that it may still change and the size of its set.
 BUDGET_AT, SIZE_AT = BITS - 2, BITS
 MOST_SIZE = (1 << 22) - 1
+#: The exact bound takes over when a turn leaves more than this part of the components of a crowd.
+STALLED = (49, 50)
+#: Longs of the bitmap of a set.
+MAP_LONGS = 32
 BLOCK = 4096
+#: The place of no row, after all others.
+NOWHERE = (1 << 63) - 1
 _rng = np.random.default_rng(5)
 _ORDERS = _rng.integers(0, 1 << 32, TABLES * BITS, dtype=np.uint32) | np.uint32(1)
 _PLACES = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
@@ -72,6 +79,15 @@ def fingerprints_of(shingles: np.ndarray) -> np.ndarray:
     return (bits.reshape(TABLES, BITS) * _PLACES).sum(axis=1, dtype=np.uint64)
 
 
+def bitmap_of(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each value of the lowest bits of a shingle: whether an odd number of shingles has it.
+
+    Two bitmaps differ in no more bits than the sets differ in shingles.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64), minlength=64 * MAP_LONGS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two ordered sets is ``LEAST`` or more."""
     if len(a) > len(b):
@@ -131,6 +147,11 @@ def _near(x: Column, y: Column) -> Column:
     return LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
 
 
+def _places(row: np.ndarray, turn: int) -> np.ndarray:
+    """An order of rows, another one in each turn."""
+    return (mixed(row.view(np.uint64) * np.uint64(2 * turn + 1) + np.uint64(turn)) >> np.uint64(2)).view(np.int64)
+
+
 def prefix_bits(n: int) -> int:
     """Leading bits by which the variants of ``n`` rows are dealt, so that a bucket gets some ``BUCKET_ROWS`` at most."""
     fits = (k for k in range(LEAST_BITS, MOST_BITS) if n * n_masks(k, HALF) <= BUCKET_ROWS << k)
@@ -171,72 +192,80 @@ def shared_variants(values: np.ndarray, left: np.ndarray, bits: int, source: np.
         yield (found[member] & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), np.cumsum(np.diff(value, prepend=value[0]) != 0)
 
 
-def _met(row: np.ndarray, root: np.ndarray | None, entry: np.ndarray, low: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's entries: the pairs of rows to test, and the rows of crowded variants.
+def _met(row: np.ndarray, root: np.ndarray | None, entry: np.ndarray, low: int, turn: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a bucket's entries: the pairs of rows to test, and the rows of a crowd, each with one row to test it against and that one's place.
 
-    Without roots these are all pairs of the variants that few rows share, and those
-    of each row of a crowded variant with its first one, in an order that changes with
-    ``turn``. With roots, only crowded variants that hold several roots count.
+    Without roots the pairs are all those of rows that meet ``FEW`` rows at most. The
+    others, and whom they meet, are a crowd, as are all that share a variant with more
+    than ``FEW``. With roots, all rows that share a variant with another root are. A
+    row of a crowd goes with the first one that it can be similar to and whose root is
+    another, in an order that changes with ``turn`` and is one for all buckets; where
+    there is none the place is ``NOWHERE``.
     """
-    place = mixed(row.view(np.uint64) * np.uint64(2 * turn + 1) + np.uint64(turn))
+    place = _places(row, turn)
     key = entry & ((1 << SIZE_AT) - 1)
     order = np.lexsort((place, key))
     row, key, place, size = row[order], key[order], place[order], entry[order] >> SIZE_AT
     start = np.flatnonzero(np.diff(key, prepend=-1))  # a fingerprint's rows, the first one in order ahead
-    count = np.diff(np.append(start, len(key)))
-    of = np.repeat(np.arange(len(start)), count)
-    node = np.arange(len(start)) if root is None else root[order]
-    least, most = (node, node) if root is None else (np.minimum.reduceat(node, start), np.maximum.reduceat(node, start))
+    n, count = len(start), np.diff(np.append(start, len(key)))
+    of = np.repeat(np.arange(n), count)
+    node = np.arange(len(row)) if root is None else root[order]
     ranking = np.argsort(place[start])
     rank = np.empty_like(ranking)
-    rank[ranking] = np.arange(len(ranking))
+    rank[ranking] = np.arange(n)
 
-    crowd = (count > FEW) & ((least < most) if root is not None else True)
-    star = [(np.flatnonzero(crowd), np.flatnonzero(crowd))]
-    near = []
-    n = len(start)
+    least, most = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
+    crowd = np.flatnonzero(count > FEW if root is None else least < most)
+    near, star = [], [crowd * (n + 1)]
     for who, group in shared_variants((key[start] & ((1 << low) - 1)).view(np.uint64), key[start] >> BUDGET_AT, low):
         first = np.flatnonzero(np.diff(group, prepend=-1))
-        crowded = np.add.reduceat(count[who], first) > FEW
         if root is None:
-            pair = []
+            crowded = np.add.reduceat(count[who], first) > FEW
             for d in range(1, FEW):
                 meets = (group[d:] == group[:-d]) & ~crowded[group[d:]]
                 if not meets.any():
                     break
-                pair.append(who[:-d][meets] * n + who[d:][meets])
-            near.append(np.unique(np.concatenate(pair)) if pair else np.zeros(0, np.int64))
+                near.append(np.unique(who[:-d][meets] * n + who[d:][meets]))
         else:
-            crowded &= np.minimum.reduceat(least[who], first) < np.maximum.reduceat(most[who], first)
+            crowded = np.minimum.reduceat(least[who], first) < np.maximum.reduceat(most[who], first)
         if crowded.any():
             centre = np.repeat(ranking[np.minimum.reduceat(rank[who], first)], np.diff(np.append(first, len(who))))
-            held = np.unique(who[crowded[group]] * n + centre[crowded[group]])
-            star.append((held // n, held % n))
+            star.append(np.unique(who[crowded[group]] * n + centre[crowded[group]]))
     near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
-    i, j = np.concatenate([x[0] for x in star]), np.concatenate([x[1] for x in star])
-    own = np.concatenate([np.flatnonzero(of[d:] == of[:-d]) + d for d in range(1, FEW)]) if root is None else np.zeros(0, np.int64)
-    back = np.concatenate([np.full(int((of[d:] == of[:-d]).sum()), d) for d in range(1, FEW)]) if root is None else np.zeros(0, np.int64)
-    few = count[of[own]] <= FEW
+    i, j = near // n, near % n
+    meets = count - 1 + np.bincount(i, count[j], n).astype(np.int64) + np.bincount(j, count[i], n).astype(np.int64)
+    many = meets > FEW if root is None else np.zeros(n, dtype=bool)
+    parted = many[i] | many[j]
+    star = np.unique(np.concatenate([*star, near[parted], (j * n + i)[parted], np.flatnonzero(many) * (n + 1)]))
+    i, j = i[~parted], j[~parted]
 
     def crossed(i: np.ndarray, j: np.ndarray, of_j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All rows of fingerprints i with the first ``of_j`` rows of j."""
+        """All rows of fingerprints i with the first ``of_j`` rows of j, where the sizes allow that they are similar."""
         both = count[i] * of_j
         at = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
         of_j = np.repeat(of_j, both)
-        return np.repeat(start[i], both) + at // of_j, np.repeat(start[j], both) + at % of_j
-
-    ends = [crossed(near // n, near % n, count[near % n]), crossed(i, j, np.ones(len(j), dtype=np.int64)), (own[few], (own - back)[few])]
-    a, b = np.concatenate([x[0] for x in ends]), np.concatenate([x[1] for x in ends])
-    fit = (a != b) & (LEAST[1] * np.minimum(size[a], size[b]) >= LEAST[0] * np.maximum(size[a], size[b]))
-    if root is not None:
-        fit &= node[a] != node[b]
-    a, b = a[fit], b[fit]
-    crowd = np.unique(i)
-    return np.minimum(row[a], row[b]), np.maximum(row[a], row[b]), row[np.isin(of, crowd)]
+        a, b = np.repeat(start[i], both) + at // of_j, np.repeat(start[j], both) + at % of_j
+        fit = (node[a] != node[b]) & (LEAST[1] * np.minimum(size[a], size[b]) >= LEAST[0] * np.maximum(size[a], size[b]))
+        return a[fit], b[fit]
+
+    own = np.flatnonzero((count > 1) & ~many & (root is None) & (count <= FEW))
+    pairs = [crossed(i, j, count[j]), crossed(own, own, count[own])]
+    a, b = (row[np.concatenate(x)] for x in zip(*pairs, strict=True))
+    who, centre = crossed(star // n, star % n, np.ones(len(star), dtype=np.int64))
+    by = np.lexsort((place[centre], who))
+    by = by[np.diff(who[by], prepend=-1) != 0]  # each one's first centre
+    met = np.full(len(row), -1)
+    met[who[by]] = centre[by]
+    crowd = np.flatnonzero(np.isin(of, star // n))
+    met = met[crowd]
+    return (np.minimum(a, b), np.maximum(a, b)), (row[crowd], row[met], np.where(met < 0, NOWHERE, place[met]))
 
 
 def meetings(rows: DataFrame, bits: int, turn: int = 0) -> DataFrame:
-    """Pairs (a < b) of rows of (_row, size, fps and, later, root) to test, and the rows a of crowded variants, where b is null."""
+    """Pairs (a < b) of rows of (_row, size, fps and, later, root) to test, and the rows a of a crowd, where b is null.
+
+    A row of a crowd is in one pair of its own a table, however many it meets.
+    """
     low, rooted = BITS - bits, "root" in rows.columns
     patterns = {w: np.setdiff1d(masks(bits, w), masks(bits, w - 1) if w else np.zeros(0, np.uint64)) for w in range(HALF + 1)}
     names = ["bucket", "_row", *(["root"] if rooted else []), "entry"]
@@ -256,12 +285,19 @@ def meetings(rows: DataFrame, bits: int, turn: int = 0) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         root = table.column("root").to_numpy() if rooted else None
-        a, b, crowded = _met(table.column("_row").to_numpy(), root, table.column("entry").to_numpy(), low, turn)
-        return pa.table({"a": np.concatenate((a, crowded)), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(crowded), pa.int64())])})
+        (a, b), (who, centre, place) = _met(table.column("_row").to_numpy(), root, table.column("entry").to_numpy(), low, turn)
+        own = np.full(len(who), -1 - (table.column("bucket")[0].as_py() >> bits)) if len(who) else who
+        columns = (np.concatenate(x) for x in ((a, who), (b, own), (b, centre), (np.zeros(len(a), np.int64), place)))
+        return pa.table(dict(zip(("a", "slot", "b", "place"), columns, strict=True)))
 
     kinds = "bucket int, _row long, root long, entry long" if rooted else "bucket int, _row long, entry long"
     dealt = rows.select("_row", "size", "fps", *(["root"] if rooted else [])).mapInArrow(deal, kinds)
-    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    met = dealt.groupBy("bucket").applyInArrow(meet, "a long, slot long, b long, place long")
+    met = met.groupBy("a", "slot").agg(F.min_by("b", "place").alias("b"), F.min("place").alias("place"))
+    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    alone = F.struct(F.col("a"), F.lit(None).cast("long").alias("b"))
+    pairs = F.when(F.col("slot") >= 0, F.array(pair)).when(F.col("place") == NOWHERE, F.array(alone)).otherwise(F.array(pair, alone))
+    return met.select(F.inline(pairs)).distinct()
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -270,7 +306,9 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     Sets are ordered by how many rows hold a shingle, rarest first. Similar sets have
     their first common shingle near the start of both, with enough left behind it in
     both, so a passage that many unlike rows share brings none of them together.
-    A shingle's largest component is met only with the shingle's other rows.
+    A shingle's largest component is met only with the shingle's other rows. Of these
+    pairs only those are given whose bitmaps differ in no more bits than similar sets
+    of their sizes differ in shingles.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +320,15 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
                     same = [pa.repeat(batch.column(k)[at], len(part)) for k in ("_row", "size", "root")]
                     yield pa.RecordBatch.from_arrays([*same, part], names=["_row", "size", "root", "shingle"])
 
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [bitmap_of(np.frombuffer(x.as_buffer(), dtype="<u8")) for x in batch.column("shingles")]
+            columns = np.array(maps, dtype=np.int64).reshape(-1, MAP_LONGS).T
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c) for c in columns)], names=["_row", *bits])
+
+    bits = [f"map{i}" for i in range(MAP_LONGS)]
     held = rest.join(sets, "_row").select("_row", "size", "root", "shingles")
+    maps = held.select("_row", "shingles").mapInArrow(drawn, ", ".join(["_row long", *(f"{c} long" for c in bits)]))
     entries = written(held.mapInArrow(cut, "_row long, size long, root long, shingle long"), "entries")
     counted = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
     common = counted.agg(F.sum("n").alias("n"), F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("roots")).filter("n > 1")
@@ -290,12 +336,15 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("_row").orderBy("n", "shingle")) - 1)
     t, u = LEAST
     before = F.expr(f"size - ceil({t} * size / {u})")
-    placed = written(placed.filter((F.col("at") <= before) & (F.col("roots") > 1)), "prefixes")
+    placed = placed.filter((F.col("at") <= before) & (F.col("roots") > 1)).select("shingle", "_row", "size", "root", "at", "major")
+    placed = written(placed.join(maps, "_row"), "prefixes")
     left = placed.filter(F.expr(f"at <= size - ceil({2 * t} * size / {t + u})"))
-    right = placed.select("shingle", *(F.col(c).alias(f"_{c}") for c in ("_row", "size", "root", "at", "major")))
+    right = placed.select("shingle", *(F.col(c).alias(f"_{c}") for c in ("_row", "size", "root", "at", "major", *bits)))
     enough = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) * (t + u) >= (F.col("size") + F.col("_size")) * t
     order = (F.col("size") < F.col("_size")) | ((F.col("size") == F.col("_size")) & (F.col("_row") < F.col("__row")))
-    meets = order & enough & (F.col("root") != F.col("_root")) & _near(F.col("size"), F.col("_size"))
+    unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in bits), F.lit(0))
+    close = unlike * (t + u) <= (F.col("size") + F.col("_size")) * (u - t)
+    meets = order & enough & (F.col("root") != F.col("_root")) & _near(F.col("size"), F.col("_size")) & close
     found = left.join(right.filter("_root != _major"), "shingle").filter(meets).select("_row", "__row")
     found = found.union(left.filter("root != major").join(right.filter("_root = _major"), "shingle").filter(meets).select("_row", "__row"))
     return found.select(F.least("_row", "__row").alias("a"), F.greatest("_row", "__row").alias("b")).distinct()
@@ -324,22 +373,20 @@ def surplus_rows(rows: DataFrame) -> DataFrame:
     sets = written(shingle_sets(rows.join(involved, "_row", "left_semi")), "shingles")
     links = written(similar_pairs(tested, sets), "links")
 
-    rest = written(nodes.join(crowded, "_row", "left_semi"), "members")
-    left, turn = rest.count(), 0
-    while left:
-        turn += 1
-        rest = written(_rooted(rest, links), "members")
+    rest = written(_rooted(nodes.join(crowded, "_row", "left_semi"), links), "members")
+    before, turn = None, 0
+    while left := rest.agg(F.count_distinct("root")).first()[0]:
+        if before and STALLED[1] * left > STALLED[0] * before:
+            found = prefix_pairs(rest.select("_row", "size", "root"), sets)
+            pairs = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = links.unionByName(written(similar_pairs(pairs, sets), "links"))
+            break
+        before, turn = left, turn + 1
         met = written(meetings(rest, bits, turn), "met")
         pairs = written(met.filter("b is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(written(similar_pairs(pairs, sets), "links"))
-        rest = rest.join(met.filter("b is null").select(F.col("a").alias("_row")), "_row", "left_semi")
-        before, left = left, rest.count()
-        if left and 2 * left > before:
-            found = prefix_pairs(_rooted(rest, links).select("_row", "size", "root"), sets)
-            pairs = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = links.unionByName(written(similar_pairs(pairs, sets), "links"))
-            break
+        rest = written(_rooted(rest.join(met.filter("b is null").select(F.col("a").alias("_row")), "_row", "left_semi"), links), "members")
 
     rooted = components(links)
     owned = classes.join(rooted, F.col("_row") == F.col("node"), "left").select("least", F.coalesce("root", "_row").alias("root"))

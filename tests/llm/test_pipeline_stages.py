@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tessera.llm import toxicity
-from tessera.llm.jaccard_dedup import BITS, FEW, TABLES, meetings, prefix_pairs, similar
+from tessera.llm.jaccard_dedup import BITS, FEW, TABLES, bitmap_of, meetings, prefix_pairs, similar
 
 DOC = "doc_id long, text string, source string"
 
@@ -220,3 +220,32 @@ def test_a_hot_group_of_near_copies_goes_as_all_pairs_say(spark, sf_dir):
     want = sorted(((min(i for i, q in enumerate(root) if q == r), r) for r in set(root)), key=repr)
     assert 1 < len(want) < 60
     assert stage_rows(spark, pipeline.drop_near_duplicates, enumerate(texts), sf_dir) == sorted(((i, texts[i]) for i, _ in want), key=repr)
+
+
+def test_a_crowd_is_tested_against_few_rows_each(spark):
+    """Pairs to test of a crowd grow with its rows, not with their pairs: at most one of each row's own a table."""
+    rng, met = np.random.default_rng(9), {}
+    base = rng.integers(0, 1 << BITS, TABLES)
+    turned = lambda: [sum(1 << int(i) for i in rng.choice(BITS, rng.integers(0, 4), replace=False)) for _ in range(TABLES)]
+    for n in (100, 400):
+        fps = [(base ^ np.array(turned())).tolist() for _ in range(n)]
+        met[n], crowded = met_and_crowded(spark, fps, [50] * n)
+        assert crowded == set(range(n))
+        again, still = met_and_crowded(spark, fps, [50] * n, [1000 + i % 2 for i in range(n)], 1)
+        assert still == set(range(n)) and n / 2 <= len(again) <= TABLES * n
+        assert n / 2 <= len(met[n]) <= TABLES * n
+    assert len(met[400]) < 6 * len(met[100])
+
+
+def test_prefix_pairs_leave_out_what_bitmaps_tell_apart(spark):
+    """Of sets around one base nearly all pairs given are similar; bitmaps never differ in more bits than sets in shingles."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 62, 150, dtype=np.uint64)
+    held = [(row, np.unique(np.concatenate((rng.permutation(base)[: 150 - n], rng.integers(1, 1 << 62, n, dtype=np.uint64))))) for row in range(120) for n in [int(rng.integers(5, 20))]]
+    for (_, a), (_, b) in itertools.combinations(held, 2):
+        assert np.unpackbits((bitmap_of(a) ^ bitmap_of(b)).view(np.uint8)).sum() <= len(np.setxor1d(a, b))
+    sets = spark.createDataFrame([(row, bytearray(s.tobytes())) for row, s in held], "_row long, shingles binary")
+    found = {(r["a"], r["b"]) for r in prefix_pairs(spark.createDataFrame([(row, len(s), row) for row, s in held], "_row long, size long, root long"), sets).collect()}
+    want = {(x[0], y[0]) for x, y in itertools.combinations(held, 2) if similar(x[1], y[1])}
+    assert want <= found and len(want) > 100
+    assert len(found - want) < len(want) / 4
