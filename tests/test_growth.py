@@ -8,6 +8,7 @@ import math
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,42 @@ def test_a_way_is_asked_once_for_all_targets_that_enter_it(spark, monkeypatch):
     got = {(r.source, r.target) for r in graph.leads_back(spark.createDataFrame(asked, names), spark.createDataFrame(edges, names)).collect()}
     assert got == {("end", f"t{i:02}") for i in range(40)} | {("m3", "t00"), ("m6", "m2"), ("x", "x")}
     assert held["begun"][0].count() <= len(asked)
+
+
+def test_like_concepts_pair_as_lists(spark):
+    """A concept was compared with all others of its tag and left with every one of them as a row of its own."""
+    same = spark.range(12000).select(
+        F.col("id").alias("path"), F.concat(F.lit("f"), "id").alias("source_file"), F.array(F.lit(1)).alias("pages"), F.array(F.lit("t")).alias("tags"),
+        F.array(F.lit("seal"), F.concat(F.lit("a"), F.col("id") % 2), F.concat(F.lit("b"), F.col("id") % 2)).alias("terms"),
+    )
+    found = graph.discover_relations(same, matched=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(others" in plan and "REPARTITION" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.agg(F.count("*"), F.sum(((F.col("source") < F.col("target")) & ((F.col("target") - F.col("source")) % 2 == 0)).cast("int"))).first()
+    assert tuple(got) == (2 * 6000 * 5999 // 2,) * 2
+
+
+@pytest.mark.parametrize("rare, space", [(1, 1 << 20), (4, 1 << 20), (10, 300), (1000, 1 << 20), (1000, 0)])
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_pair_as_all_pairs_do(monkeypatch, rare, space, same):
+    """Holders of a term as bitmaps, as lists and as both; two blocks of a tag or one; lists cut at their bound."""
+    for name, value in (("RARE", rare), ("MAP_BYTES", space), ("MOST_HOLDERS", 40), ("STRIP", 7), ("MOST_LISTED", 3), ("MOST_ROWS", 50)):
+        monkeypatch.setattr(graph, name, value)
+    draw = random.Random(rare + same)
+    words = [f"w{min(draw.randrange(30), draw.randrange(30))}" for _ in range(400)] + [None, *(f"x{i}" for i in range(40))]
+    rows = [(0 if same else draw.randrange(2), draw.randrange(150), draw.choice([None, "", "f", *map(str, range(30))]), draw.sample("abcd", draw.choice([0, 0, 1, 2])), list(set(draw.choices(words, k=draw.choice([0, 1, 3, 9]))))) for _ in range(170)]
+    names = ("own", "path", "file", "earlier", "terms")
+    kinds = (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+    table = pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+    table = table.append_column("low", pa.array([0] * len(rows), pa.int32())).append_column("high", pa.array([int(not same)] * len(rows), pa.int32()))
+    expected = []
+    for a, b in itertools.combinations(rows, 2):
+        fits = len(set(a[4]) & set(b[4]) - {None}) > 1 and not set(a[3]) & set(b[3]) and a[2] != b[2] and a[1] != b[1]
+        if fits and (same or a[0] != b[0]):
+            expected.append((min(a[1], b[1]), max(a[1], b[1])))
+    got = []
+    for paths, leads, lists in graph._pairs_across(table):
+        for path, lead, others in zip(paths.to_pylist(), leads.to_pylist(), lists.to_pylist(), strict=True):
+            assert 0 < len(others) <= 3
+            got += [(path, other) if lead else (other, path) for other in others]
+    assert len(expected) > 200 and sorted(got) == sorted(expected)
